@@ -1,0 +1 @@
+"""Streaming is not part of this library's surface: frames are finite tables."""
