@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sparkframe.llm import quality_rules, rlz_dedup, suffix_dedup
+from sparkframe.llm import ngram_join, quality_rules, rlz_dedup, suffix_dedup
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.op1_ngram_join,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op9_rlz_dedup": rlz_dedup.op9_rlz_dedup,

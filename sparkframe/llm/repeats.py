@@ -174,8 +174,8 @@ def repeated_windows(docs: DataFrame, number: str, text: str, length: int, gram:
 
     ``docs`` has ``number`` (long, not null) and ``text`` (string or binary) among its columns.
     ``symbols(data, offsets)`` gives 64-bit symbols, each row's bounds among them, and whatever
-    ``finish`` needs. ``width`` bytes hold a symbol's own value, ``symbol_bytes`` is about how
-    many bytes of text a symbol takes. ``compare(values, counts, number)`` gets the stretches to compare (their
+    ``finish`` needs. ``width`` bytes hold a symbol's own value; ``symbol_bytes`` bytes of
+    text give about one byte of entries. ``compare(values, counts, number)`` gets the stretches to compare (their
     symbols' values end to end, windows in each, documents' numbers) and returns, for each
     window, whether it also starts in a smaller document. ``finish(block, chunks)`` gets the
     block and for each chunk its documents' range, symbols, bounds, extra and windows' marks.

@@ -78,7 +78,7 @@ def remove_repeats(docs: DataFrame, number: str = "doc_id", text: str = "text")
         return pa.concat_tables(parts)
 
     numbered = docs.withColumn("__number", jobs.is_null_last(F.col(f"`{number}`")))
-    return repeated_windows(numbered, "__number", text, LENGTH, GRAM, _symbols, 8, _compare, finish, schema, 6)
+    return repeated_windows(numbered, "__number", text, LENGTH, GRAM, _symbols, 8, _compare, finish, schema, 2)
 
 
 def without_repeats(docs: DataFrame, number: str = "doc_id", text: str = "text") -> DataFrame:
