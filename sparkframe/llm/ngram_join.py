@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from sparkframe.llm import jobs
 from sparkframe.llm.components import components
-from sparkframe.llm.tokens import LOWER, U64, bytes_of, mix, slices, span_hashes, spread, word_spans
+from sparkframe.llm.tokens import LOWER, U64, bytes_of, column_of, mix, slices, span_hashes, spread, word_spans
 
 SHINGLE, NUM, DEN = 5, 75, 100
 CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 16 << 20
@@ -135,23 +135,48 @@ def _sets_of(batch, number: str, text: str):
         yield number[i:j], *shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
+def bit_sketches(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's parity bits, packed: every shingle flips one of 2^k bits, as many as shingles or more, 64 at least.
+
+    Bits that differ are at most the shingles that differ. Half of a sketch XOR its other half is
+    the sketch of half the bits, so sketches of any two lengths compare.
+    """
+    n = np.diff(bounds)
+    size = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    begin = np.append(0, np.cumsum(size))
+    row = np.repeat(np.arange(len(n)), n)
+    at = begin[row] + (mix(hashes, 0x77777) & (size[row] - 1).astype(U64)).astype(np.int64)
+    bits = np.bincount(at, minlength=begin[-1]).astype(np.uint8) & 1
+    return np.packbits(bits, bitorder="little"), begin // 8
+
+
+def differing_bits(x: bytes, y: bytes) -> int:
+    """The Hamming distance of two sketches, the longer folded to the shorter's length."""
+    a, b = np.frombuffer(x, U64), np.frombuffer(y, U64)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def describe(docs: DataFrame, number: str, text: str) -> DataFrame:
-    """(number, n, d0, d1) of every row: its set's size and digest."""
+    """(number, n, d0, d1, bits) of every row: its set's size, digest and parity bits."""
 
     def run(batches):
         for batch in batches:
             for num, hashes, bounds in _sets_of(batch, number, text):
                 d = digests(hashes, bounds).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(num), pa.array(np.diff(bounds)), pa.array(d[0]), pa.array(d[1])], ["id", "n", "d0", "d1"])
+                yield pa.RecordBatch.from_arrays([pa.array(num), pa.array(np.diff(bounds)), pa.array(d[0]), pa.array(d[1]), column_of(*bit_sketches(hashes, bounds), binary=True)], ["id", "n", "d0", "d1", "bits"])
 
-    return docs.select(number, text).mapInArrow(run, "id long, n long, d0 long, d1 long")
+    return docs.select(number, text).mapInArrow(run, "id long, n long, d0 long, d1 long, bits binary")
 
 
 _BLOB = "bucket int, keys binary, place binary, id binary, n binary, d0 binary, d1 binary"
 
 
 def _candidate_groups(docs: DataFrame, number: str, text: str, buckets: int) -> DataFrame:
-    """(members): sorted numbers of documents that agree in a sketch word, equal sets as one. Distinct within a bucket."""
+    """(members, sizes): documents that agree in a sketch word, by number, equal sets as one. Distinct within a bucket."""
 
     def send(batches):
         for batch in batches:
@@ -190,49 +215,66 @@ def _candidate_groups(docs: DataFrame, number: str, text: str, buckets: int) ->
         group = np.cumsum(new) - 1
         often = order[np.bincount(group)[group] > 1]
         if not len(often):
-            return _groups_table([], [])
-        keys, number, d0, d1 = keys[often], *(np.concatenate(x)[often] for x in (number, d0, d1))
+            return _groups_table([], [], [])
+        keys, number, size, d0, d1 = keys[often], *(np.concatenate(x)[often] for x in (number, size, d0, d1))
         order = np.lexsort((number, d1, d0, keys))
-        keys, number, d0, d1 = keys[order], number[order], d0[order], d1[order]
+        keys, number, size, d0, d1 = keys[order], number[order], size[order], d0[order], d1[order]
         first = np.append(True, (keys[1:] != keys[:-1]) | (d0[1:] != d0[:-1]) | (d1[1:] != d1[:-1]))
-        keys, number = keys[first], number[first]
+        keys, number, size = keys[first], number[first], size[first]
         order = np.lexsort((number, keys))
-        keys, number = keys[order], number[order]
+        keys, number, size = keys[order], number[order], size[order]
         start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         sizes = np.diff(np.append(start, len(keys)))
         start, sizes = start[sizes > 1], sizes[sizes > 1]
         if not len(start):
-            return _groups_table([], [])
+            return _groups_table([], [], [])
         sums = np.zeros(len(number) + 1, U64)
         np.cumsum(mix(number.view(U64)), out=sums[1:])
         _, once = np.unique(mix(sums[start + sizes] - sums[start]) + sizes.astype(U64), return_index=True)
         start, sizes = start[once], sizes[once]
-        return _groups_table(number[spread(start, sizes)], sizes)
+        at = spread(start, sizes)
+        return _groups_table(number[at], size[at], sizes)
+
+    return docs.select(number, text).mapInArrow(send, _BLOB).groupBy("bucket").applyInArrow(group, "members array<long>, sizes array<long>")
+
 
-    return docs.select(number, text).mapInArrow(send, _BLOB).groupBy("bucket").applyInArrow(group, "members array<long>")
+def _groups_table(members, sizes, lengths) -> pa.Table:
+    ends = pa.array(np.append(0, np.cumsum(np.asarray(lengths, np.int64))), pa.int32())
+    return pa.table({"members": pa.ListArray.from_arrays(ends, pa.array(members, _ID)), "sizes": pa.ListArray.from_arrays(ends, pa.array(np.asarray(sizes, np.int64), _ID))})
 
 
-def _groups_table(members, sizes) -> pa.Table:
-    ends = np.append(0, np.cumsum(np.asarray(sizes, np.int64)))
-    return pa.table({"members": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(members, _ID))})
+#: So many document numbers at most are broadcast, 8 bytes each.
+_BROADCAST_ROWS = 500_000
 
 
-def _set_table(docs: DataFrame, wanted: DataFrame, number: str, text: str) -> DataFrame:
+def _set_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, hashes) of the wanted documents."""
 
     def run(batches):
         for batch in batches:
-            for num, hashes, bounds in _sets_of(batch, number, text):
-                offsets = (bounds * 8).astype(np.int64)
-                packed = pa.Array.from_buffers(pa.large_binary(), len(num), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(hashes))])
-                yield pa.RecordBatch.from_arrays([pa.array(num), packed.cast(pa.binary())], ["id", "hashes"])
+            for num, hashes, bounds in _sets_of(batch, "id", "text"):
+                packed = column_of(np.ascontiguousarray(hashes).view(np.uint8), bounds * 8, binary=True)
+                yield pa.RecordBatch.from_arrays([pa.array(num), packed], ["id", "hashes"])
 
-    chosen = docs.select(number, text).join(wanted.withColumnRenamed("id", number), number, "left_semi")
-    return chosen.mapInArrow(run, "id long, hashes binary")
+    few = wanted.count() <= _BROADCAST_ROWS
+    return docs.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, hashes binary")
 
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are alike enough, from their whole sets."""
+def _close(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b, na, nb) whose parity bits differ in no more places than linked sets may."""
+
+    def run(batches):
+        for batch in batches:
+            most = ((batch.column("na").to_numpy() + batch.column("nb").to_numpy()) * (DEN - NUM)) // (DEN + NUM)
+            keep = [differing_bits(x.as_buffer(), y.as_buffer()) <= m for x, y, m in zip(batch.column("x"), batch.column("y"), most, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda k, v: sketches.select(F.col("id").alias(k), F.col("bits").alias(v))
+    return pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _links(pairs: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b, na, nb) whose sets are alike enough: by their parity bits first, then by the whole sets."""
 
     def run(batches):
         for batch in batches:
@@ -243,10 +285,15 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep[k] = DEN * both >= NUM * (len(a) + len(b) - both)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    near = pairs.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a")
-    big = lambda c: F.octet_length(c)
-    near = near.filter((DEN * F.least(big("x"), big("y")) >= NUM * F.greatest(big("x"), big("y"))))
-    return near.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    close = jobs.written(_close(pairs, sketches), "close")
+    sets = jobs.written(_set_table(docs, close.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "hashes")
+    side = lambda k, v: sets.select(F.col("id").alias(k), F.col("hashes").alias(v))
+    near = close.join(side("b", "y"), "b").join(side("a", "x"), "a")
+    return jobs.written(near.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+
+
+def _alike(na, nb):
+    return DEN * F.least(na, nb) >= NUM * F.greatest(na, nb)
 
 
 def near_duplicates(docs: DataFrame, number: str = "doc_id", text: str = "text") -> DataFrame:
@@ -262,20 +309,19 @@ def near_duplicates(docs: DataFrame, number: str = "doc_id", text: str = "text")
     buckets = jobs.parts_for(size, BUCKET_BYTES, 12)
     described = jobs.written(describe(known, "id", "text"), "sets")
     classes = described.filter("n > 0").groupBy("n", "d0", "d1").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
+    sketches = described.select("id", "bits")
     groups = jobs.written(_candidate_groups(known, "id", "text", buckets), "groups")
 
-    star = groups.select(F.col("members")[0].alias("a"), F.explode(F.slice("members", 2, F.size("members") - 1)).alias("b")).filter("a <> b").distinct()
-    star = jobs.written(star, "pairs")
-    wanted = groups.select(F.explode("members").alias("id")).distinct()
-    sets = jobs.written(_set_table(known, wanted, "id", "text"), "hashes")
-    links = jobs.written(_links(star, sets), "links")
-    rest = _open_pairs(groups, components(links)).join(star, ["a", "b"], "left_anti")
-    more = jobs.written(_links(rest, sets), "links")
-    roots = components(links.unionByName(more)) if more.limit(1).count() else components(links)
+    rest = lambda c: F.slice(c, 2, F.size(c) - 1)
+    star = groups.select(F.col("members")[0].alias("a"), F.col("sizes")[0].alias("na"), F.explode(F.arrays_zip(rest("members").alias("id"), rest("sizes").alias("n"))).alias("m"))
+    star = jobs.written(star.select("a", F.col("m.id").alias("b"), "na", F.col("m.n").alias("nb")).filter((F.col("a") != F.col("b")) & _alike("na", "nb")).distinct(), "pairs")
+    links = _links(star, sketches, known)
+    roots = components(links)
+    more = _links(_open_pairs(groups, roots).join(star, ["a", "b"], "left_anti"), sketches, known)
 
     # Each class takes its component's root; its other copies follow it, and so do rows that share a number.
     member = described.join(classes.filter("copies > 1"), ["n", "d0", "d1"], "left").select("id", "n", F.coalesce("class_id", "id").alias("class_id"))
-    whole = components(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(member.filter("class_id <> id AND n > 0").select(F.col("id").alias("a"), F.col("class_id").alias("b"))))
+    whole = components(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(more).unionByName(member.filter("class_id <> id AND n > 0").select(F.col("id").alias("a"), F.col("class_id").alias("b"))))
     placed = member.join(whole.withColumnRenamed("v", "id"), "id", "left")
     out = placed.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "id")).otherwise(F.col("id")).alias("component_id"), "class_id")
     loose = docs.filter("id IS NULL")
@@ -285,14 +331,14 @@ def near_duplicates(docs: DataFrame, number: str = "doc_id", text: str = "text")
 
 
 def _open_pairs(groups: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs within a group whose ends are in different components."""
-    numbered = groups.withColumn("g", F.xxhash64("members"))
-    rows = numbered.select("g", F.explode("members").alias("id")).distinct()
-    placed = rows.join(roots.withColumnRenamed("v", "id"), "id", "left").select("g", "id", F.coalesce("root", "id").alias("root"))
+    """Pairs (a, b, na, nb) of sizes that may link, within a group, whose ends are in different components."""
+    numbered = groups.select(F.xxhash64("members").alias("g"), F.explode(F.arrays_zip(F.col("members").alias("id"), F.col("sizes").alias("n"))).alias("m"))
+    rows = numbered.select("g", "m.id", "m.n").distinct()
+    placed = rows.join(roots.withColumnRenamed("v", "id"), "id", "left").select("g", "id", "n", F.coalesce("root", "id").alias("root"))
     open_ = placed.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("g")
     left = jobs.written(placed.join(open_, "g"), "open")
-    a, b = left.select("g", F.col("id").alias("a"), F.col("root").alias("ra")), left.select("g", F.col("id").alias("b"), F.col("root").alias("rb"))
-    return a.join(b, "g").filter("a < b AND ra <> rb").select("a", "b").distinct()
+    a, b = left.select("g", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")), left.select("g", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    return a.join(b, "g").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _alike("na", "nb")).select("a", "b", "na", "nb").distinct()
 
 
 def one_of_each(docs: DataFrame, number: str = "doc_id", text: str = "text") -> DataFrame:
