@@ -9,7 +9,9 @@ word); a set takes part in its own band's sketch and, as the smaller side, in th
 document with too many empty words for the bound also sends sketches with other seeds, until one
 has few enough; since both sides of a pair send all seeds up to their first good one, no pair is lost.
 
-Links are found without emitting all pairs of a group. Equal sets stand for one document. In each
+A group of more than ``HOT`` documents is left out for a document that is sure to share more words
+with any set it links with than it has in such groups: a passage that many documents hold doesn't
+pair them all. Links are found without emitting all pairs of a group. Equal sets stand for one document. In each
 group of agreeing words the smallest document is paired with the others; pairs are verified on the
 whole sets, links make components, and then every pair within a group whose ends are still in
 different components is verified too. A pair left out is thus one whose ends are already joined.
@@ -33,8 +35,9 @@ from sparkframe.llm.tokens import LOWER, U64, bytes_of, column_of, mix, slices,
 SHINGLE, NUM, DEN = 5, 75, 100
 CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 16 << 20
 #: Sizes of a band lie within this factor, and a sketch has this many words for each shingle of the band's largest set.
-BAND, DENSITY = DEN / NUM, 0.33
-_ID = pa.int64()
+BAND, DENSITY = DEN / NUM, 0.42
+#: A group of more documents than this is hot.
+HOT = 16
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,10 +97,15 @@ def sketch_words(band: np.ndarray) -> np.ndarray:
     return np.maximum(2 * r // 7 + 1, np.ceil(DENSITY * r).astype(np.int64))
 
 
-def signatures(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, row of each): every word of every sketch that a row sends, unless empty."""
+def signatures(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, row of each, step of each, sure): every word of every sketch that a row sends, unless empty.
+
+    Step 0 is the sketch of the row's own band, 1 that of the next. ``sure`` has for each step and
+    row how many words that aren't empty agree at least with any set it links with; 0 for a row
+    that sends more seeds than one.
+    """
     n = np.diff(bounds)
-    rows_out, keys_out = [], []
+    rows_out, keys_out, steps_out, sure = [], [], [], np.zeros((2, len(n)), np.int64)
     for step in (0, 1):
         todo = np.flatnonzero(n > 0)
         seed = 0
@@ -119,12 +127,15 @@ def signatures(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
             row, place = row[order][start], place[order][start]
             keys_out.append(mix(word + mix(place + (band[row].astype(U64) << U64(32)) + (U64(seed) << U64(48)))))
             rows_out.append(todo[row])
-            empty = p - np.bincount(row, minlength=len(todo))
-            todo = todo[p - differ - empty < 1]
+            steps_out.append(np.full(len(row), step, np.int64))
+            agree = np.bincount(row, minlength=len(todo)) - differ
+            if not seed:
+                sure[step, todo] = np.clip(agree, 0, 65535)
+            todo = todo[agree < 1]
             seed += 1
     if not keys_out:
-        return np.zeros(0, U64), np.zeros(0, np.int64)
-    return np.concatenate(keys_out), np.concatenate(rows_out)
+        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), sure
+    return np.concatenate(keys_out), np.concatenate(rows_out), np.concatenate(steps_out), sure
 
 
 def _sets_of(batch, number: str, text: str):
@@ -172,24 +183,27 @@ def describe(docs: DataFrame, number: str, text: str) -> DataFrame:
     return docs.select(number, text).mapInArrow(run, "id long, n long, d0 long, d1 long, bits binary")
 
 
-_BLOB = "bucket int, keys binary, place binary, id binary, n binary, d0 binary, d1 binary"
+_BLOB = "bucket int, keys binary, place binary, step binary, id binary, n binary, d binary, sure binary"
+#: Rows of ``_candidate_groups``: a group (documents and sizes), a hot group (and each one's step), and
+#: counts of hot groups (documents, how many, and 2 * sure + step).
+COLD, HOT_GROUP, HEAT = 0, 1, 2
+_GROUPS = "kind int, members array<long>, sizes array<long>, more array<long>"
 
 
 def _candidate_groups(docs: DataFrame, number: str, text: str, buckets: int) -> DataFrame:
-    """(members, sizes): documents that agree in a sketch word, by number, equal sets as one. Distinct within a bucket."""
+    """Groups of documents that agree in a sketch word, by number, equal sets as one. Distinct within a bucket."""
 
     def send(batches):
         for batch in batches:
             for num, hashes, bounds in _sets_of(batch, number, text):
-                d = digests(hashes, bounds)
-                order = np.lexsort((num, d[1], d[0]))
-                new = np.append(True, (d[:, order][:, 1:] != d[:, order][:, :-1]).any(axis=0))
+                d = digests(hashes, bounds)[0]
+                order = np.lexsort((num, d))
                 keep = np.zeros(len(num), bool)
-                keep[order[new]] = True  # the smallest of equal sets speaks for them here
+                keep[order[np.append(True, d[order][1:] != d[order][:-1])]] = True  # the smallest of equal sets speaks for them here
                 n = np.diff(bounds)
                 chosen = spread(bounds[:-1][keep], n[keep])
-                keys, row = signatures(hashes[chosen], np.append(0, np.cumsum(n[keep])))
-                num, n, d = num[keep], n[keep], d[:, keep]
+                keys, row, step, sure = signatures(hashes[chosen], np.append(0, np.cumsum(n[keep])))
+                num, n, d = num[keep], n[keep], d[keep]
                 bucket = ((keys >> U64(32)) % U64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 at = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -197,50 +211,78 @@ def _candidate_groups(docs: DataFrame, number: str, text: str, buckets: int) ->
                 for b in np.flatnonzero(np.diff(at)):
                     pick = order[at[b] : at[b + 1]]
                     present, place = np.unique(row[pick], return_inverse=True)
-                    out.append({"bucket": int(b), "keys": keys[pick].astype(np.uint32).tobytes(), "place": place.astype(np.uint16 if len(present) < 65536 else np.uint32).tobytes(), "id": num[present].tobytes(), "n": n[present].astype(np.uint32).tobytes(), "d0": d[0, present].tobytes(), "d1": d[1, present].tobytes()})
+                    values = {"keys": keys[pick].astype(np.uint32), "place": place.astype(np.uint16 if len(present) < 65536 else np.uint32), "step": np.packbits(step[pick].astype(bool)), "id": num[present], "n": n[present].astype(np.uint32), "d": d[present], "sure": sure[:, present].astype(np.uint16)}
+                    out.append({"bucket": int(b)} | {k: v.tobytes() for k, v in values.items()})
                 if out:
-                    yield pa.RecordBatch.from_pylist(out, pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("keys", "place", "id", "n", "d0", "d1"))]))
+                    yield pa.RecordBatch.from_pylist(out, pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("keys", "place", "step", "id", "n", "d", "sure"))]))
 
     def group(table: pa.Table) -> pa.Table:
-        keys, number, size, d0, d1 = [], [], [], [], []
+        parts = {k: [] for k in ("key", "id", "n", "d", "step", "sure")}
         for r in table.to_pylist():
-            ids = np.frombuffer(r["id"], np.int64)
+            ids, keys = np.frombuffer(r["id"], np.int64), np.frombuffer(r["keys"], np.uint32)
             place = np.frombuffer(r["place"], np.uint16 if len(ids) < 65536 else np.uint32)
-            keys.append(np.frombuffer(r["keys"], np.uint32))
-            for to, values in ((number, ids), (size, np.frombuffer(r["n"], np.uint32)), (d0, np.frombuffer(r["d0"], U64)), (d1, np.frombuffer(r["d1"], U64))):
-                to.append(values[place])
-        keys = np.concatenate(keys)
+            step = np.unpackbits(np.frombuffer(r["step"], np.uint8), count=len(keys))
+            sure = np.frombuffer(r["sure"], np.uint16).reshape(2, -1)
+            for k, v in (("key", keys), ("id", ids[place]), ("n", np.frombuffer(r["n"], np.uint32)[place]), ("d", np.frombuffer(r["d"], U64)[place]), ("step", step), ("sure", sure[step, place])):
+                parts[k].append(v)
+        keys = np.concatenate(parts.pop("key"))
         order = np.argsort(keys, kind="stable")
         new = np.append(True, keys[order][1:] != keys[order][:-1])
-        group = np.cumsum(new) - 1
-        often = order[np.bincount(group)[group] > 1]
+        place = np.cumsum(new) - 1
+        often = order[np.bincount(place)[place] > 1]
         if not len(often):
-            return _groups_table([], [], [])
-        keys, number, size, d0, d1 = keys[often], *(np.concatenate(x)[often] for x in (number, size, d0, d1))
-        order = np.lexsort((number, d1, d0, keys))
-        keys, number, size, d0, d1 = keys[order], number[order], size[order], d0[order], d1[order]
-        first = np.append(True, (keys[1:] != keys[:-1]) | (d0[1:] != d0[:-1]) | (d1[1:] != d1[:-1]))
-        keys, number, size = keys[first], number[first], size[first]
-        order = np.lexsort((number, keys))
-        keys, number, size = keys[order], number[order], size[order]
+            return _groups_table([])
+        keys, c = keys[often], {k: np.concatenate(v)[often] for k, v in parts.items()}
+        order = np.lexsort((c["id"], c["d"], keys))
+        first = np.append(True, (keys[order][1:] != keys[order][:-1]) | (c["d"][order][1:] != c["d"][order][:-1]))
+        order = order[first]
+        order = order[np.lexsort((c["id"][order], keys[order]))]
+        keys, c = keys[order], {k: v[order].astype(np.int64) for k, v in c.items() if k != "d"}
         start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         sizes = np.diff(np.append(start, len(keys)))
         start, sizes = start[sizes > 1], sizes[sizes > 1]
         if not len(start):
-            return _groups_table([], [], [])
-        sums = np.zeros(len(number) + 1, U64)
-        np.cumsum(mix(number.view(U64)), out=sums[1:])
-        _, once = np.unique(mix(sums[start + sizes] - sums[start]) + sizes.astype(U64), return_index=True)
-        start, sizes = start[once], sizes[once]
-        at = spread(start, sizes)
-        return _groups_table(number[at], size[at], sizes)
-
-    return docs.select(number, text).mapInArrow(send, _BLOB).groupBy("bucket").applyInArrow(group, "members array<long>, sizes array<long>")
-
-
-def _groups_table(members, sizes, lengths) -> pa.Table:
-    ends = pa.array(np.append(0, np.cumsum(np.asarray(lengths, np.int64))), pa.int32())
-    return pa.table({"members": pa.ListArray.from_arrays(ends, pa.array(members, _ID)), "sizes": pa.ListArray.from_arrays(ends, pa.array(np.asarray(sizes, np.int64), _ID))})
+            return _groups_table([])
+        hot = sizes > HOT
+        mark = c["id"] * 2 + c["step"]
+        sums = np.zeros(len(mark) + 1, U64)
+        np.cumsum(mix(mark.view(U64)), out=sums[1:])
+        same = mix(sums[start + sizes] - sums[start]) + sizes.astype(U64)
+        out = []
+        for kind, which in ((COLD, ~hot), (HOT_GROUP, hot)):
+            _, once = np.unique(same[which], return_index=True)
+            s, n = start[which][once], sizes[which][once]
+            at = spread(s, n)
+            out.append((kind, n, c["id"][at], c["n"][at], c["step"][at] if kind else np.zeros(len(at), np.int64)))
+        if hot.any():
+            at = spread(start[hot], sizes[hot])
+            _, once, times = np.unique(mark[at], return_index=True, return_counts=True)
+            at = at[once]
+            out.append((HEAT, [len(at)], c["id"][at], times, c["sure"][at] * 2 + c["step"][at]))
+        return _groups_table(out)
+
+    return docs.select(number, text).mapInArrow(send, _BLOB).groupBy("bucket").applyInArrow(group, _GROUPS)
+
+
+def _groups_table(parts) -> pa.Table:
+    kinds = np.concatenate([np.full(len(p[1]), p[0], np.int32) for p in parts]) if parts else np.zeros(0, np.int32)
+    lengths = np.concatenate([np.asarray(p[1], np.int64) for p in parts]) if parts else np.zeros(0, np.int64)
+    ends = pa.array(np.append(0, np.cumsum(lengths)), pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.asarray(p[k], np.int64) for p in parts]) if parts else [], pa.int64())) for k in (2, 3, 4)]
+    return pa.table({"kind": pa.array(kinds), "members": lists[0], "sizes": lists[1], "more": lists[2]})
+
+
+def _memberships(raw: DataFrame) -> DataFrame:
+    """(g, id, n): each group's documents, of hot groups only those that need them.
+
+    A document whose hot groups, in a sketch, are fewer than the words it is sure to share with any
+    set it links with meets each of those in a group that isn't hot.
+    """
+    each = lambda kind: raw.filter(F.col("kind") == kind).select(F.xxhash64("kind", "members", "more").alias("g"), F.explode(F.arrays_zip(F.col("members").alias("id"), F.col("sizes").alias("n"), F.col("more").alias("more"))).alias("m")).select("g", "m.*")
+    heat = each(HEAT).select("id", (F.col("more") % 2).alias("step"), F.floor(F.col("more") / 2).alias("sure"), F.col("n").alias("times"))
+    bound = heat.groupBy("id", "step").agg(F.sum("times").alias("times"), F.min("sure").alias("sure")).filter("times >= sure").select("id", "step")
+    hot = each(HOT_GROUP).withColumnRenamed("more", "step").join(bound, ["id", "step"], "left_semi").select("g", "id", "n")
+    return each(COLD).select("g", "id", "n").unionByName(hot).distinct()
 
 
 #: So many document numbers at most are broadcast, 8 bytes each.
@@ -310,11 +352,11 @@ def near_duplicates(docs: DataFrame, number: str = "doc_id", text: str = "text")
     described = jobs.written(describe(known, "id", "text"), "sets")
     classes = described.filter("n > 0").groupBy("n", "d0", "d1").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
     sketches = described.select("id", "bits")
-    groups = jobs.written(_candidate_groups(known, "id", "text", buckets), "groups")
+    groups = jobs.written(_memberships(jobs.written(_candidate_groups(known, "id", "text", buckets), "candidates")), "groups")
 
-    rest = lambda c: F.slice(c, 2, F.size(c) - 1)
-    star = groups.select(F.col("members")[0].alias("a"), F.col("sizes")[0].alias("na"), F.explode(F.arrays_zip(rest("members").alias("id"), rest("sizes").alias("n"))).alias("m"))
-    star = jobs.written(star.select("a", F.col("m.id").alias("b"), "na", F.col("m.n").alias("nb")).filter((F.col("a") != F.col("b")) & _alike("na", "nb")).distinct(), "pairs")
+    heads = groups.groupBy("g").agg(F.min(F.struct("id", "n")).alias("head"))
+    star = groups.join(heads, "g").select(F.col("head.id").alias("a"), F.col("id").alias("b"), F.col("head.n").alias("na"), F.col("n").alias("nb"))
+    star = jobs.written(star.filter((F.col("a") != F.col("b")) & _alike("na", "nb")).distinct(), "pairs")
     links = _links(star, sketches, known)
     roots = components(links)
     more = _links(_open_pairs(groups, roots).join(star, ["a", "b"], "left_anti"), sketches, known)
@@ -332,9 +374,7 @@ def near_duplicates(docs: DataFrame, number: str = "doc_id", text: str = "text")
 
 def _open_pairs(groups: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs (a, b, na, nb) of sizes that may link, within a group, whose ends are in different components."""
-    numbered = groups.select(F.xxhash64("members").alias("g"), F.explode(F.arrays_zip(F.col("members").alias("id"), F.col("sizes").alias("n"))).alias("m"))
-    rows = numbered.select("g", "m.id", "m.n").distinct()
-    placed = rows.join(roots.withColumnRenamed("v", "id"), "id", "left").select("g", "id", "n", F.coalesce("root", "id").alias("root"))
+    placed = groups.join(roots.withColumnRenamed("v", "id"), "id", "left").select("g", "id", "n", F.coalesce("root", "id").alias("root"))
     open_ = placed.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("g")
     left = jobs.written(placed.join(open_, "g"), "open")
     a, b = left.select("g", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")), left.select("g", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
