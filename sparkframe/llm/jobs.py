@@ -67,3 +67,11 @@ def hashed_block(blocks: int, *columns: Column) -> Column:
 def is_null_last(doc_id: Column) -> Column:
     """A document number for comparisons: null counts as the largest."""
     return F.coalesce(doc_id.cast("long"), F.lit(2**63 - 1))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

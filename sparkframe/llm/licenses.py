@@ -167,7 +167,7 @@ def detect(text: Column) -> Column:
     """A struct: n_words, places (of base phrases), base_labels, labels, score."""
     t = F.coalesce(text, F.lit(""))
     pieces = F.size(F.split(t, SEPARATOR))
-    n = (pieces - t.rlike(r"\A(?:\z|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])").cast("int") - t.rlike(r"(?<!\A)[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]\z").cast("int")).cast("long")
+    n = (pieces - t.rlike(r"\A(?:\z|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])").cast("int") - t.rlike(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]\z").cast("int")).cast("long")
     none = F.expr("cast(array() as array<string>)")
     empty = F.struct(F.expr("cast(array() as array<bigint>)").alias("places"), none.alias("base"), none.alias("labels"), F.lit(0.0).alias("score"))
     table = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(k).alias("keyword"), F.lit(p).alias("pattern"), F.lit(r).alias("rank"), F.lit(w).alias("weight")) for a, k, p, r, w in rules()])

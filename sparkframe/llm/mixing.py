@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkframe.llm import jobs
-from sparkframe.llm.columns import n_words
+from sparkframe.llm.columns import carried, n_words
 
 WEIGHTS, SHARE_NUM, SHARE_DEN, REPEATS, SEED = (5, 2, 1), 3, 2, 2, 20240607
 #: Documents that a cell of a queue holds, about.
@@ -84,10 +84,10 @@ def mix(docs: DataFrame, number: str = "doc_id", text: str = "text", source: str
 
 def mixed(docs: DataFrame, number: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """``docs`` as the mix takes them: a document taken twice is there twice, one not taken is left out."""
-    found = mix(docs, number, text, source).groupBy(F.col(number).alias("__id")).agg(F.max("passes").alias("__passes"))
-    joined = docs.join(found, F.col(f"`{number}`").cast("long").eqNullSafe(F.col("__id"))).filter("__passes > 0")
-    names = [F.col(f"`{n}`") for n in docs.columns]
-    return joined.select(*names, F.explode(F.array_repeat(F.lit(1), F.col("__passes").cast("int"))).alias("__copy")).drop("__copy")
+    found = mix(docs, number, text, source).groupBy(F.col(number).alias("id")).agg(F.max("passes").alias("passes"))
+    packed = carried(docs, own=F.col(f"`{number}`").cast("long"))
+    joined = packed.join(found, F.col("own").eqNullSafe(F.col("id"))).filter("passes > 0")
+    return joined.select("row", F.explode(F.array_repeat(F.lit(1), F.col("passes").cast("int")))).select("row.*")
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

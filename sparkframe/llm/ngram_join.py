@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkframe.llm import jobs
+from sparkframe.llm.columns import carried
 from sparkframe.llm.components import components
 from sparkframe.llm.tokens import LOWER, U64, bytes_of, column_of, mix, slices, span_hashes, spread, word_spans
 
@@ -383,14 +384,11 @@ def _open_pairs(groups: DataFrame, roots: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame, number: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest number, once."""
-    found = near_duplicates(docs, number, text).filter(F.col(number) == F.col("component_id")).select(F.col(number).alias("__id")).distinct()
-    kept = docs.join(found, F.col(f"`{number}`").cast("long") == F.col("__id"), "left_semi")
-    names = [f"`{c}`" for c in docs.columns]
-    # Rows that share a number: the first by text stays.
-    ranked = kept.select(F.struct(*names).alias("row"), F.col(f"`{number}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
-    first = ranked.groupBy("id").agg(F.min_by("row", F.struct(F.xxhash64("t"), F.length("t"))).alias("row"), F.count("*").alias("n"))
-    loose = docs.filter(F.col(f"`{number}`").isNull())
-    return first.select("row.*").unionByName(loose)
+    found = near_duplicates(docs, number, text).filter(F.col(number) == F.col("component_id")).select(F.col(number).alias("first")).distinct()
+    packed = carried(docs, id=F.col(f"`{number}`").cast("long"), t=F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    # Rows that share a number: the first by its text's hash stays.
+    kept = packed.join(found, F.col("id") == F.col("first"), "left_semi").groupBy("id").agg(F.min_by("row", F.struct(F.xxhash64("t"), F.length("t"))).alias("row"))
+    return kept.select("row").unionByName(packed.filter("id IS NULL").select("row")).select("row.*")
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:

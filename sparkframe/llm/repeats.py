@@ -182,13 +182,14 @@ def repeated_windows(docs: DataFrame, number: str, text: str, length: int, gram:
     """
     size = jobs.total_bytes(docs, text)
     blocks, buckets = jobs.parts_for(size, BLOCK_BYTES, 2), jobs.parts_for(size // symbol_bytes, BUCKET_BYTES, 8)
-    dealt = docs.withColumn("__block", jobs.hashed_block(blocks, F.col(f"`{number}`"), F.col(f"`{text}`")))
+    own = jobs.unused(docs, "__block")
+    dealt = docs.withColumn(own, jobs.hashed_block(blocks, F.col(f"`{number}`"), F.col(f"`{text}`")))
     load = lambda table: Block(table, number, text, length, gram, symbols, buckets)
 
     def send(table: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _rows([])
-        where = table.column("__block")[0].as_py()
+        where = table.column(own)[0].as_py()
         anchor, stretch, num, *_ = load(table).entries()
         out = []
         for b, at in _by_bucket(_bucket(anchor, buckets), buckets):
@@ -213,7 +214,7 @@ def repeated_windows(docs: DataFrame, number: str, text: str, length: int, gram:
     def contexts(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _rows([])
-        where = table.column("__block")[0].as_py()
+        where = table.column(own)[0].as_py()
         block = load(table)
         anchor, _, num, first, _, _, runs = block.entries()
         codes = codes_of(anchor, replies, 1)
@@ -222,9 +223,9 @@ def repeated_windows(docs: DataFrame, number: str, text: str, length: int, gram:
         chunk, lo, n = runs[:, first[wanted]]
         values: list = [None] * len(wanted)
         for c, (_, _, made, _, extra, _) in enumerate(block.chunks):
-            own = extra.get("values", made)
+            source = extra.get("values", made)
             for k in np.flatnonzero(chunk == c):
-                values[k] = own[lo[k] : lo[k] + n[k] + length - 1].tobytes()
+                values[k] = source[lo[k] : lo[k] + n[k] + length - 1].tobytes()
         for b, at in _by_bucket(_bucket(anchor[wanted], buckets), buckets):
             v, index = _numbers(num[wanted[at]])
             out.append({"block": where, "bucket": b, "kind": 2, "a": b"".join(values[k] for k in at), "b": n[at].astype(np.uint32).tobytes(), "c": v, "d": index})
@@ -272,13 +273,13 @@ def repeated_windows(docs: DataFrame, number: str, text: str, length: int, gram:
         return finish(block, marked())
 
     schema_arrow = _arrow_schema(schema)
-    answers = dealt.groupBy("__block").applyInArrow(send, _REPLY).groupBy("bucket").applyInArrow(answer, _REPLY)
+    answers = dealt.groupBy(own).applyInArrow(send, _REPLY).groupBy("bucket").applyInArrow(answer, _REPLY)
     grouped = lambda df: df.groupBy("block")
-    asked = dealt.groupBy("__block").cogroup(grouped(answers)).applyInArrow(contexts, _REPLY)
+    asked = dealt.groupBy(own).cogroup(grouped(answers)).applyInArrow(contexts, _REPLY)
     # A block's answers travel on beside its questions: each is a group of its own.
     key = F.when(F.col("kind") == 1, -1 - F.pmod(F.xxhash64("block", "bucket"), F.lit(1 << 30))).otherwise(F.col("bucket").cast("long")).alias("__key")
     resolved = asked.groupBy(key).applyInArrow(resolve, _REPLY)
-    return dealt.groupBy("__block").cogroup(grouped(resolved)).applyInArrow(gather, schema)
+    return dealt.groupBy(own).cogroup(grouped(resolved)).applyInArrow(gather, schema)
 
 
 def _arrow_schema(schema: T.StructType) -> pa.Schema:

@@ -77,8 +77,9 @@ def remove_repeats(docs: DataFrame, number: str = "doc_id", text: str = "text")
             parts.append(pa.table([*columns, _joined(extra["data"], *extra["spans"], ~gone, bounds), pa.array(np.diff(bounds)), pa.array(np.diff(n[bounds])), span_column(*spans_of(gone, bounds))], names=[f.name for f in schema]))
         return pa.concat_tables(parts)
 
-    numbered = docs.withColumn("__number", jobs.is_null_last(F.col(f"`{number}`")))
-    return repeated_windows(numbered, "__number", text, LENGTH, GRAM, _symbols, 8, _compare, finish, schema, 2)
+    key = jobs.unused(docs, "__number")
+    numbered = docs.withColumn(key, jobs.is_null_last(F.col(f"`{number}`")))
+    return repeated_windows(numbered, key, text, LENGTH, GRAM, _symbols, 8, _compare, finish, schema, 2)
 
 
 def without_repeats(docs: DataFrame, number: str = "doc_id", text: str = "text") -> DataFrame:
@@ -86,10 +87,15 @@ def without_repeats(docs: DataFrame, number: str = "doc_id", text: str = "text")
 
     A document whose words all repeat has nothing left and goes. A column ``n_chars`` follows.
     """
-    found = remove_repeats(docs, number, text).filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
-    new = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(f"`{text}`"))
-    out = [new.alias(c) if c == text else F.when(F.col("n_removed") > 0, F.char_length("kept").cast("long")).otherwise(F.col("n_chars")).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return found.select(*out)
+    # Under names of the operator's own, whatever columns ``docs`` has.
+    renamed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    place = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    found = remove_repeats(renamed, place[number], place[text]).filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
+    cut = F.col("n_removed") > 0
+    new = {text: F.when(cut, F.col("kept")).otherwise(F.col(place[text]))}
+    if "n_chars" in place:
+        new["n_chars"] = F.when(cut, F.char_length("kept").cast("long")).otherwise(F.col(place["n_chars"]))
+    return found.select(*[new.get(c, F.col(i)).alias(c) for c, i in place.items()])
 
 
 def op9_rlz_dedup(spark, sf_dir: str) -> DataFrame:

@@ -82,8 +82,9 @@ def remove_repeats(docs: DataFrame, number: str = "doc_id", text: str = "text")
             parts.append(pa.table([*columns, kept, pa.array(np.diff(bounds)), span_column(*spans_of(gone, bounds))], names=[f.name for f in schema]))
         return pa.concat_tables(parts)
 
-    numbered = docs.withColumn("__number", jobs.is_null_last(F.col(f"`{number}`")))
-    return repeated_windows(numbered, "__number", text, LENGTH, GRAM, _symbols, 1, _compare, finish, schema, 1)
+    key = jobs.unused(docs, "__number")
+    numbered = docs.withColumn(key, jobs.is_null_last(F.col(f"`{number}`")))
+    return repeated_windows(numbered, key, text, LENGTH, GRAM, _symbols, 1, _compare, finish, schema, 1)
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
