@@ -16,7 +16,7 @@ from sparkframe.llm.tokens import slices, spread
 
 _DOUBLE = re.compile(r"\s |<\|")
 #: Distinct pieces that a worker remembers before it begins anew.
-_REMEMBERED = 400_000
+_REMEMBERED = 1_000_000
 _PIECE_CHARS = 40_000
 
 
@@ -39,21 +39,24 @@ class Encoder:
     def _forget(self):
         self.code, self.used, self.n = {}, 0, 0
         self.flat, self.at = np.zeros(1 << 16, np.uint32), np.zeros((2, 1 << 16), np.int64)
-        self._keep("", self._whole([" "])[0])  # a blank at a text's end
+        blank = self._whole([" "])[0]  # at a text's end
+        self._keep_all([""], blank, np.array([len(blank)]))
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _keep(self, piece: str, ids: np.ndarray) -> None:
-        while self.used + len(ids) > len(self.flat):
+    def _keep_all(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Remember pieces whose ids, ``sizes`` of them each, stand end to end."""
+        n, used = self.n + len(pieces), self.used + len(ids)
+        while used > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        if self.n == self.at.shape[1]:
+        while n > self.at.shape[1]:
             self.at = np.concatenate([self.at, np.zeros_like(self.at)], axis=1)
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.at[:, self.n] = self.used, len(ids)
-        self.code[piece] = self.n
-        self.used += len(ids)
-        self.n += 1
+        self.flat[self.used : used] = ids
+        self.at[0, self.n : n] = self.used + np.cumsum(sizes) - sizes
+        self.at[1, self.n : n] = sizes
+        self.code.update(zip(pieces, range(self.n, n), strict=True))
+        self.n, self.used = n, used
 
     def _learn(self, pieces: list[str]) -> None:
         """Encode pieces, each with a blank before it, many in one text."""
@@ -64,16 +67,17 @@ class Encoder:
                 size = 0
             groups[-1].append(p)
             size += len(p) + 1
-        for group, ids in zip(groups, self._whole([" " + " ".join(g) for g in groups]), strict=True):
-            ends = np.cumsum(np.fromiter((len(p.encode()) + 1 for p in group), np.int64, len(group)))
+        joined = [" " + " ".join(g) for g in groups]
+        for group, text, ids in zip(groups, joined, self._whole(joined), strict=True):
+            raw = np.frombuffer(text.encode(), np.uint8)
+            ends = np.append(np.flatnonzero(raw == 0x20)[1:], len(raw))  # pieces hold no blank
             reached = np.cumsum(self.bytes_per_id[ids])
             cut = np.searchsorted(reached, ends)
             if cut[-1] < len(ids) and (reached[cut] == ends).all():
-                parts = np.split(ids, cut[:-1] + 1)
+                self._keep_all(group, ids, np.diff(cut + 1, prepend=0))
             else:
                 parts = self._whole([" " + p for p in group])
-            for p, x in zip(group, parts, strict=True):
-                self._keep(p, x)
+                self._keep_all(group, np.concatenate(parts), np.array([len(x) for x in parts], np.int64))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids end to end, and where each text's begin (one more at the end)."""
@@ -90,7 +94,7 @@ class Encoder:
                 counts[k] = len(rest)
         fresh = set(pieces).difference(self.code)
         if fresh:
-            self._learn(sorted(fresh))
+            self._learn(list(fresh))
         codes = np.fromiter(map(self.code.__getitem__, pieces), np.int64, len(pieces))
         if heads:
             known = sorted({h for _, h in heads if h})
