@@ -1,8 +1,8 @@
 """License scans by ordered signature rules.
 
 Hundreds of signatures (families of names times phrasings) are regular expressions over a text's
-words. A text is looked at only if it holds a family's keyword, and only those families' rules run
-on it. Detections carry a priority; one that lies within another of the same or a higher priority is
+words. A family's rules run on a text only if it holds the family's keyword, and, for names that say
+too little alone, a beginning of the phrasings. Detections carry a priority; one that lies within another of the same or a higher priority is
 suppressed. Everything is a Spark expression over one row: no user functions and no shuffle.
 
 Defined results: null, empty and blank texts have no words and no labels; equal rows are scanned
@@ -11,6 +11,8 @@ alike; extra columns are carried along; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,64 +23,66 @@ SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 # The base phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: label, keyword that a text must hold, and the name as words.
+#: label, the beginning of a word or words that a text must hold, and the name as words.
 FAMILIES = (
-    ("mit", "mit", "(?:mit|expat)(?: x11)?"),
-    ("apache", "apache", "apache(?: software)?"),
-    ("apache-2.0", "apache", "apache(?: software)?(?: license)?(?: version)? 2(?: 0)?"),
-    ("bsd", "bsd", "bsd"),
-    ("bsd-2-clause", "bsd", "(?:bsd (?:2|two) clause|(?:2|two) clause bsd|simplified bsd|freebsd)"),
+    ("mit", "mit ", "mit(?: x11)?"),
+    ("mit", "expat ", "expat(?: x11)?"),
+    ("apache", "apache ", "apache(?: software)?"),
+    ("apache-2.0", "apache ", "apache(?: software)?(?: license)?(?: version)? 2(?: 0)?"),
+    ("bsd", "bsd ", "bsd"),
+    ("bsd-2-clause", "bsd", "(?:bsd (?:2|two) clause|(?:2|two) clause bsd|simplified bsd)"),
+    ("bsd-2-clause", "freebsd ", "freebsd"),
     ("bsd-3-clause", "bsd", "(?:bsd (?:3|three) clause|(?:3|three) clause bsd|new bsd|modified bsd|revised bsd)"),
     ("bsd-4-clause", "bsd", "(?:bsd (?:4|four) clause|(?:4|four) clause bsd|original bsd)"),
-    ("0bsd", "0bsd", "0bsd"),
-    ("gpl", "general public", "(?:gnu )?general public"),
+    ("0bsd", "0bsd ", "0bsd"),
+    ("gpl", "general public ", "(?:gnu )?general public"),
     ("gpl-2.0", "gpl", "(?:gnu )?gpl ?v?2(?: 0)?(?: only| or later)?"),
     ("gpl-3.0", "gpl", "(?:gnu )?gpl ?v?3(?: 0)?(?: only| or later)?"),
-    ("gpl-2.0", "general public", "(?:gnu )?general public license(?: as published by the free software foundation)?(?: either)? version 2"),
-    ("gpl-3.0", "general public", "(?:gnu )?general public license(?: as published by the free software foundation)?(?: either)? version 3"),
-    ("lgpl", "lesser general", "(?:gnu )?lesser general public"),
+    ("gpl-2.0", "general public ", "(?:gnu )?general public license(?: as published by the free software foundation)?(?: either)? version 2"),
+    ("gpl-3.0", "general public ", "(?:gnu )?general public license(?: as published by the free software foundation)?(?: either)? version 3"),
+    ("lgpl", "lesser general public ", "(?:gnu )?lesser general public"),
     ("lgpl", "lgpl", "(?:gnu )?lgpl(?: ?v?[23])?(?: [01])?"),
     ("agpl", "affero", "(?:gnu )?affero general public"),
     ("agpl", "agpl", "(?:gnu )?agpl(?: ?v?3)?(?: 0)?"),
-    ("gfdl", "documentation license", "(?:gnu )?free documentation"),
-    ("mpl", "mozilla", "mozilla public"),
-    ("mpl-2.0", "mozilla", "mozilla public license(?: version)? 2(?: 0)?"),
+    ("gfdl", "free documentation ", "(?:gnu )?free documentation"),
+    ("mpl", "mozilla ", "mozilla public"),
+    ("mpl-2.0", "mozilla ", "mozilla public license(?: version)? 2(?: 0)?"),
     ("mpl-2.0", "mpl", "mpl(?: v)? ?2(?: 0)?"),
-    ("epl", "eclipse", "eclipse(?: public)?"),
-    ("epl-2.0", "eclipse", "eclipse public license(?: version| v)? 2(?: 0)?"),
-    ("cddl", "cddl", "cddl(?: 1 [01])?"),
-    ("cddl", "common development", "common development and distribution"),
-    ("cpl", "common public", "common public"),
-    ("eupl", "european union", "european union public"),
-    ("artistic", "artistic", "(?:perl )?artistic"),
-    ("zlib", "zlib", "zlib(?: libpng)?"),
+    ("epl", "eclipse ", "eclipse(?: public)?"),
+    ("epl-2.0", "eclipse ", "eclipse public license(?: version| v)? 2(?: 0)?"),
+    ("cddl", "cddl ", "cddl(?: 1 [01])?"),
+    ("cddl", "common development and distribution ", "common development and distribution"),
+    ("cpl", "common public ", "common public"),
+    ("eupl", "european union public ", "european union public"),
+    ("artistic", "artistic ", "(?:perl )?artistic"),
+    ("zlib", "zlib ", "zlib(?: libpng)?"),
     ("isc", "isc ", "isc"),
-    ("boost", "boost", "boost software"),
-    ("unlicense", "unlicense", "the unlicense"),
-    ("wtfpl", "wtfpl", "wtfpl"),
-    ("postgresql", "postgresql", "postgresql"),
-    ("python", "python", "python(?: software foundation)?"),
-    ("ruby", "ruby", "ruby"),
-    ("php", "php", "php"),
-    ("openssl", "openssl", "openssl"),
-    ("ofl", "open font", "(?:sil )?open font"),
-    ("odbl", "open database", "open database"),
-    ("odc-by", "open data commons", "open data commons attribution"),
-    ("cc0", "cc0", "cc0(?: 1 0)?(?: universal)?"),
-    ("cc0", "creative commons", "creative commons zero"),
-    ("cc-by", "cc", "cc by(?: [1-4] [05])?"),
-    ("cc-by-sa", "cc", "cc by sa(?: [1-4] [05])?"),
-    ("cc-by-nc", "cc", "cc by nc(?: [1-4] [05])?"),
-    ("cc-by-nd", "cc", "cc by nd(?: [1-4] [05])?"),
-    ("cc-by-nc-sa", "cc", "cc by nc sa(?: [1-4] [05])?"),
-    ("cc-by-nc-nd", "cc", "cc by nc nd(?: [1-4] [05])?"),
-    ("cc-by", "creative commons", "creative commons attribution(?: [1-4] [05])?"),
-    ("cc-by-sa", "creative commons", "creative commons attribution share ?alike(?: [1-4] [05])?"),
-    ("cc-by-nc", "creative commons", "creative commons attribution non ?commercial(?: [1-4] [05])?"),
-    ("cc-by-nd", "creative commons", "creative commons attribution no ?deriv(?:ative|ative works|atives|s)(?: [1-4] [05])?"),
-    ("public-domain", "public domain", "public domain"),
-    ("proprietary", "proprietary", "proprietary(?: and confidential)?"),
-    ("reserved", "reserved", "all rights reserved"),
+    ("boost", "boost software ", "boost software"),
+    ("unlicense", "unlicense ", "the unlicense"),
+    ("wtfpl", "wtfpl ", "wtfpl"),
+    ("postgresql", "postgresql ", "postgresql"),
+    ("python", "python ", "python(?: software foundation)?"),
+    ("ruby", "ruby ", "ruby"),
+    ("php", "php ", "php"),
+    ("openssl", "openssl ", "openssl"),
+    ("ofl", "open font ", "(?:sil )?open font"),
+    ("odbl", "open database ", "open database"),
+    ("odc-by", "open data commons attribution ", "open data commons attribution"),
+    ("cc0", "cc0 ", "cc0(?: 1 0)?(?: universal)?"),
+    ("cc0", "creative commons zero ", "creative commons zero"),
+    ("cc-by", "cc by ", "cc by(?: [1-4] [05])?"),
+    ("cc-by-sa", "cc by sa ", "cc by sa(?: [1-4] [05])?"),
+    ("cc-by-nc", "cc by nc ", "cc by nc(?: [1-4] [05])?"),
+    ("cc-by-nd", "cc by nd ", "cc by nd(?: [1-4] [05])?"),
+    ("cc-by-nc-sa", "cc by nc sa ", "cc by nc sa(?: [1-4] [05])?"),
+    ("cc-by-nc-nd", "cc by nc nd ", "cc by nc nd(?: [1-4] [05])?"),
+    ("cc-by", "creative commons attribution ", "creative commons attribution(?: [1-4] [05])?"),
+    ("cc-by-sa", "creative commons attribution ", "creative commons attribution share ?alike(?: [1-4] [05])?"),
+    ("cc-by-nc", "creative commons attribution ", "creative commons attribution non ?commercial(?: [1-4] [05])?"),
+    ("cc-by-nd", "creative commons attribution ", "creative commons attribution no ?deriv(?:ative|ative works|atives|s)(?: [1-4] [05])?"),
+    ("public-domain", "public domain ", "public domain"),
+    ("proprietary", "proprietary ", "proprietary(?: and confidential)?"),
+    ("reserved", "all rights reserved ", "all rights reserved"),
 )
 #: How a name is used: a rank (lower goes first), a weight, and the words around the name.
 PHRASINGS = (
@@ -100,14 +104,18 @@ def rules() -> list[tuple[str, str, str, int, float]]:
     return out
 
 
-#: Keywords, one of which any text with a base phrase or a signature holds.
-_GATE = sorted({k.strip().split(" ")[0] for _, k, _ in FAMILIES} | {"license", "reserved", "cc"})
+#: Beginnings of words, one of which any signature with a phrase around its name has.
+_PHRASES = ("licen", "under ", "subject to ", "according to ", "in accordance with ")
+
 
+def normal(text: Column) -> Column:
+    """The words of a text, A-Z lower-cased, with a blank before, between and after them.
 
-def tokens(text: Column) -> Column:
-    """The words of a text, with A-Z lower-cased."""
-    upper = "".join(map(chr, range(ord("A"), ord("Z") + 1)))
-    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), upper, upper.lower()), SEPARATOR), "")
+    Other letters may be lower-cased too; they differ from those of any name or phrase. The Kelvin
+    sign alone has an ASCII letter for its lower case, and is put away first.
+    """
+    t = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u00e9")))
+    return F.regexp_replace(F.concat(F.lit(" "), t, F.lit(" ")), SEPARATOR, " ")
 
 
 def _places(words: Column, phrase: str) -> Column:
@@ -163,28 +171,40 @@ def _surviving(found: Column) -> Column:
     return F.aggregate(F.sort_array(found), state, add)
 
 
+def _rule_table(some) -> Column:
+    """Signatures by keyword: (keyword, rules)."""
+    by_key: dict[str, list] = {}
+    for a, k, p, r, w in some:
+        by_key.setdefault(k, []).append(F.struct(F.lit(a).alias("label"), F.lit(p).alias("pattern"), F.lit(r).alias("rank"), F.lit(w).alias("weight")))
+    return F.array(*[F.struct(F.lit(f" {k}").alias("keyword"), F.array(*v).alias("rules")) for k, v in by_key.items()])
+
+
 def detect(text: Column) -> Column:
-    """A struct: n_words, places (of base phrases), base_labels, labels, score."""
-    t = F.coalesce(text, F.lit(""))
-    pieces = F.size(F.split(t, SEPARATOR))
-    n = (pieces - t.rlike(r"\A(?:\z|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])").cast("int") - t.rlike(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]\z").cast("int")).cast("long")
+    """A struct: n_words and found, a struct of places (of base phrases), base, labels, score."""
     none = F.expr("cast(array() as array<string>)")
-    empty = F.struct(F.expr("cast(array() as array<bigint>)").alias("places"), none.alias("base"), none.alias("labels"), F.lit(0.0).alias("score"))
-    table = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(k).alias("keyword"), F.lit(p).alias("pattern"), F.lit(r).alias("rank"), F.lit(w).alias("weight")) for a, k, p, r, w in rules()])
-
-    def scanned(words: Column) -> Column:
-        places = [_places(words, p) for p, _ in BASE]
+    nowhere = F.expr("cast(array() as array<bigint>)")
+    empty = F.struct(nowhere.alias("places"), none.alias("base"), none.alias("labels"), F.lit(0.0).alias("score"))
+    # Without a phrase, only names that say enough alone can be found.
+    alone, phrased = _rule_table(r for r in rules() if r[3] == _RANKS - 1), _rule_table(rules())
+
+    def scanned(joined: Column) -> Column:
+        words = F.split(F.trim(joined), " ")
+        at = lambda p: F.when(F.contains(joined, F.lit(f" {p} ")), let(words, lambda w: _places(w, p))).otherwise(nowhere)
+        places = F.array(*[at(p) for p, _ in BASE])
+        asked = lambda table: F.flatten(F.transform(F.filter(table, lambda r: F.contains(joined, r["keyword"])), lambda r: r["rules"]))
+        has_phrase = functools.reduce(lambda a, b: a | b, [F.contains(joined, F.lit(f" {x}")) for x in _PHRASES])
 
         def combined(x: Column) -> Column:
             base = F.filter(F.array(*[F.when(F.size(x["places"][k]) > 0, F.lit(label)) for k, (_, label) in enumerate(BASE)]), lambda y: y.isNotNull())
-            asked = F.filter(table, lambda r: F.contains(x["joined"], r["keyword"]))
-            found = F.flatten(F.transform(asked, lambda r: _matches(x["joined"], r)))
-            return let(F.struct(base.alias("base"), _surviving(found).alias("s")), lambda y: F.struct(F.flatten(x["places"]).alias("places"), F.array_sort(y["base"]).alias("base"), F.array_sort(F.array_union(y["base"], y["s"]["labels"])).alias("labels"), F.when(F.size(y["base"]) > 0, F.greatest(F.lit(0.6), y["s"]["score"])).otherwise(y["s"]["score"]).alias("score")))
+            found = F.flatten(F.transform(x["asked"], lambda r: _matches(joined, r)))
+            whole = let(F.struct(base.alias("base"), _surviving(found).alias("s")), lambda y: F.struct(F.flatten(x["places"]).alias("places"), F.array_sort(y["base"]).alias("base"), F.array_sort(F.array_union(y["base"], y["s"]["labels"])).alias("labels"), F.when(F.size(y["base"]) > 0, F.greatest(F.lit(0.6), y["s"]["score"])).otherwise(y["s"]["score"]).alias("score")))
+            return F.when((F.size(x["asked"]) == 0) & (F.size(F.flatten(x["places"])) == 0), empty).otherwise(whole)
 
-        return let(F.struct(F.array(*places).alias("places"), F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")).alias("joined")), combined)
+        n = F.char_length(joined) - F.char_length(F.replace(joined, F.lit(" "), F.lit(""))) - 1
+        found = let(F.struct(places.alias("places"), F.when(has_phrase, asked(phrased)).otherwise(asked(alone)).alias("asked")), combined)
+        return F.struct(n.cast("long").alias("n_words"), found.alias("found"))
 
-    gate = t.rlike("(?i)" + "|".join(_GATE))
-    return F.struct(n.alias("n_words"), F.when(gate, let(tokens(t), scanned)).otherwise(empty).alias("found"))
+    return let(normal(text), scanned)
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -345,10 +345,8 @@ def licenses_by_hand(text):
         places += at
         base |= {label} if at else set()
     joined, found = f" {' '.join(w)} ", []
-    if re.search("|".join(licenses._GATE), lower(text)):
-        for label, key, pattern, rank, weight in licenses.rules():
-            if key in joined:
-                found += [(m.start(), m.end(), rank, label, weight) for m in re.finditer(f"(?<= )(?:{pattern})(?= )", joined)]
+    for label, _, pattern, rank, weight in licenses.rules():  # no gate: keywords may lose nothing
+        found += [(m.start(), m.end(), rank, label, weight) for m in re.finditer(f"(?<= )(?:{pattern})(?= )", joined)]
     first = sorted(found, key=lambda f: (f[0], -f[1], f[2], f[3], f[4]))
     kept = [f for k, f in enumerate(first) if not any(g[1] >= f[1] and g[2] <= f[2] for g in first[:k])]
     score = max([f[4] for f in kept] + [0.6 if base else 0.0])
