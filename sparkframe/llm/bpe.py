@@ -7,6 +7,7 @@ white-space character, or which hold a special token's opening, are encoded whol
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 
@@ -17,7 +18,7 @@ from sparkframe.llm.tokens import slices, spread
 _DOUBLE = re.compile(r"\s |<\|")
 #: Distinct pieces that a worker remembers before it begins anew.
 _REMEMBERED = 1_000_000
-_PIECE_CHARS = 40_000
+_PIECE_CHARS = 6_000
 
 
 def default_path() -> str:
@@ -92,10 +93,12 @@ class Encoder:
                 heads.append((k, head))
                 pieces += rest
                 counts[k] = len(rest)
-        fresh = set(pieces).difference(self.code)
-        if fresh:
-            self._learn(list(fresh))
-        codes = np.fromiter(map(self.code.__getitem__, pieces), np.int64, len(pieces))
+        codes = np.fromiter(map(self.code.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
+        absent = np.flatnonzero(codes < 0)
+        if len(absent):
+            fresh = [pieces[k] for k in absent.tolist()]
+            self._learn(list(dict.fromkeys(fresh)))
+            codes[absent] = np.fromiter(map(self.code.__getitem__, fresh), np.int64, len(fresh))
         if heads:
             known = sorted({h for _, h in heads if h})
             firsts = dict(zip(known, self._whole(known), strict=True))
