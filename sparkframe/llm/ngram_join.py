@@ -13,8 +13,10 @@ A group of more than ``HOT`` documents is left out for a document that is sure t
 with any set it links with than it has in such groups: a passage that many documents hold doesn't
 pair them all. Links are found without emitting all pairs of a group. Equal sets stand for one document. In each
 group of agreeing words the smallest document is paired with the others; pairs are verified on the
-whole sets, links make components, and then every pair within a group whose ends are still in
-different components is verified too. A pair left out is thus one whose ends are already joined.
+whole sets, links make components, and then the pairs within a group whose ends are still in
+different components are compared by their parity bits, in blocks of bounded size that emit only
+pairs close enough; those are verified too. A pair left out is thus one whose ends are already
+joined or whose bits differ too much.
 
 Defined results: words are lower-cased A-Z; a text with one to four words has its whole sequence as
 one shingle; null, empty and blank texts have none and link with nothing, nor do null numbers;
@@ -39,6 +41,8 @@ CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 16 << 20
 BAND, DENSITY = DEN / NUM, 0.42
 #: A group of more documents than this is hot.
 HOT = 16
+#: 64-bit words of the folded sketches, and about so many documents that a cell compares with so many others.
+SHORT_WORDS, CELL = 32, 512
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,16 +176,26 @@ def differing_bits(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Sketches, a row each, folded to so many 64-bit words."""
+    while bits.shape[1] > words:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
+
+
 def describe(docs: DataFrame, number: str, text: str) -> DataFrame:
-    """(number, n, d0, d1, bits) of every row: its set's size, digest and parity bits."""
+    """(number, n, d0, d1, bits, short) of every row: its set's size, digest, parity bits, and long ones folded."""
 
     def run(batches):
         for batch in batches:
             for num, hashes, bounds in _sets_of(batch, number, text):
                 d = digests(hashes, bounds).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(num), pa.array(np.diff(bounds)), pa.array(d[0]), pa.array(d[1]), column_of(*bit_sketches(hashes, bounds), binary=True)], ["id", "n", "d0", "d1", "bits"])
+                bits, at = bit_sketches(hashes, bounds)
+                short = [folded(bits[i:j].view(U64)[None], SHORT_WORDS).tobytes() if j - i > 8 * SHORT_WORDS else None for i, j in zip(at[:-1], at[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(num), pa.array(np.diff(bounds)), pa.array(d[0]), pa.array(d[1]), column_of(bits, at, binary=True), pa.array(short, pa.binary())], ["id", "n", "d0", "d1", "bits", "short"])
 
-    return docs.select(number, text).mapInArrow(run, "id long, n long, d0 long, d1 long, bits binary")
+    return docs.select(number, text).mapInArrow(run, "id long, n long, d0 long, d1 long, bits binary, short binary")
 
 
 _BLOB = "bucket int, keys binary, place binary, step binary, id binary, n binary, d binary, sure binary"
@@ -360,7 +374,8 @@ def near_duplicates(docs: DataFrame, number: str = "doc_id", text: str = "text")
     star = jobs.written(star.filter((F.col("a") != F.col("b")) & _alike("na", "nb")).distinct(), "pairs")
     links = _links(star, sketches, known)
     roots = components(links)
-    more = _links(_open_pairs(groups, roots).join(star, ["a", "b"], "left_anti"), sketches, known)
+    short = described.select("id", F.coalesce("short", "bits").alias("short"))
+    more = _links(_open_pairs(groups, roots, short).join(star, ["a", "b"], "left_anti"), sketches, known)
 
     # Each class takes its component's root; its other copies follow it, and so do rows that share a number.
     member = described.join(classes.filter("copies > 1"), ["n", "d0", "d1"], "left").select("id", "n", F.coalesce("class_id", "id").alias("class_id"))
@@ -373,13 +388,74 @@ def near_duplicates(docs: DataFrame, number: str = "doc_id", text: str = "text")
     return out.unionByName(counted.select(none.alias("id"), F.col("n").alias("n_shingles"), none.alias("component_id"), none.alias("class_id"))).withColumnRenamed("id", number)
 
 
-def _open_pairs(groups: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b, na, nb) of sizes that may link, within a group, whose ends are in different components."""
+def _open_pairs(groups: DataFrame, roots: DataFrame, short: DataFrame) -> DataFrame:
+    """Pairs (a, b, na, nb) within a group that may link by size and folded bits, with ends in different components.
+
+    A group is dealt into blocks of about ``CELL`` documents and each two blocks meet in a cell, so
+    no task holds a whole group; a cell compares bits and emits only the pairs that are left.
+    """
     placed = groups.join(roots.withColumnRenamed("v", "id"), "id", "left").select("g", "id", "n", F.coalesce("root", "id").alias("root"))
-    open_ = placed.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("g")
-    left = jobs.written(placed.join(open_, "g"), "open")
-    a, b = left.select("g", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")), left.select("g", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    return a.join(b, "g").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _alike("na", "nb")).select("a", "b", "na", "nb").distinct()
+    open_ = placed.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.ceil(F.count("*") / CELL).cast("int").alias("blocks")).filter("x <> y").select("g", "blocks")
+    left = placed.join(open_, "g").join(short, "id").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    met = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = ["g", "i", "j"]
+    cells = met.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "n", "root", "own", "short")
+    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cells.repartition(parts, *cell).sortWithinPartitions(*cell).mapInArrow(_compared, "a long, b long, na long, nb long").distinct()
+
+
+def _compared(batches):
+    """The pairs of each cell that may link; its rows stand together, and the last cell of a batch waits for the next."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if rest is not None:
+            table = pa.concat_tables([rest, table])
+        edge = _cell_edges(table)
+        rest = table.slice(edge[-2])
+        yield from _near_in_cells(table.slice(0, edge[-2]))
+    if rest is not None:
+        yield from _near_in_cells(rest)
+
+
+def _cell_edges(table: pa.Table) -> np.ndarray:
+    """Where each cell's rows begin, and the end."""
+    g, i, j = (table.column(c).to_numpy() for c in ("g", "i", "j"))
+    if not len(g):
+        return np.zeros(2, np.int64)
+    new = (g[1:] != g[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+    return np.concatenate([[0], np.flatnonzero(new) + 1, [len(g)]])
+
+
+def _near_in_cells(table: pa.Table):
+    """Blocks i and j against each other, or a block within itself, by folded bits."""
+    ids, n, root, own, block, other = (table.column(c).to_numpy() for c in ("id", "n", "root", "own", "i", "j"))
+    data, at = bytes_of(table.column("short"))
+    edge, found = _cell_edges(table), []
+    for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        if e - s < 2 or (root[s:e] == root[s]).all():
+            continue
+        length = np.diff(at[s : e + 1])
+        words = int(length.min()) // 8
+        bits = np.empty((e - s, words), U64)
+        for m in np.unique(length).tolist():
+            which = np.flatnonzero(length == m)
+            bits[which] = folded(data[at[s + which][:, None] + np.arange(m)].view(U64), words)
+        x, y = np.flatnonzero(own[s:e] == block[s]), np.flatnonzero(own[s:e] == other[s])
+        differ = np.zeros((len(x), len(y)), np.int32)
+        for w in range(words):
+            differ += np.bitwise_count(bits[x, w][:, None] ^ bits[y, w][None])
+        x, y = x + s, y + s
+        p, q = np.nonzero(differ <= (n[x][:, None] + n[y][None]) * (DEN - NUM) // (DEN + NUM))
+        x, y = x[p], y[q]
+        keep = (root[x] != root[y]) & (DEN * np.minimum(n[x], n[y]) >= NUM * np.maximum(n[x], n[y])) & (ids[x] != ids[y])
+        x, y = x[keep], y[keep]
+        swap = ids[x] > ids[y]
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        found.append(np.stack([ids[x], ids[y], n[x], n[y]]))
+    if found:
+        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in pairs], ["a", "b", "na", "nb"])
 
 
 def one_of_each(docs: DataFrame, number: str = "doc_id", text: str = "text") -> DataFrame:
