@@ -152,13 +152,13 @@ def _sets_of(batch, number: str, text: str):
 
 
 def bit_sketches(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's parity bits, packed: every shingle flips one of 2^k bits, as many as shingles or more, 64 at least.
+    """Each row's parity bits, packed: every shingle flips one of 2^k bits, twice the shingles or more, 64 at least.
 
     Bits that differ are at most the shingles that differ. Half of a sketch XOR its other half is
     the sketch of half the bits, so sketches of any two lengths compare.
     """
     n = np.diff(bounds)
-    size = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    size = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64) + 1)
     begin = np.append(0, np.cumsum(size))
     row = np.repeat(np.arange(len(n)), n)
     at = begin[row] + (mix(hashes, 0x77777) & (size[row] - 1).astype(U64)).astype(np.int64)
