@@ -9,9 +9,10 @@ word); a set takes part in its own band's sketch and, as the smaller side, in th
 document with too many empty words for the bound also sends sketches with other seeds, until one
 has few enough; since both sides of a pair send all seeds up to their first good one, no pair is lost.
 
-A group of more than ``HOT`` documents is left out for a document that is sure to share more words
-with any set it links with than it has in such groups: a passage that many documents hold doesn't
-pair them all. Links are found without emitting all pairs of a group. Equal sets stand for one document. In each
+A group of more than ``HOT`` documents is hot. A document is sure to share s words with any set it
+links with, so it leaves its hottest groups, s - 1 words of them at most: the coldest word that a
+linked pair shares is never among them, as all documents rank the groups alike. A passage that many
+documents hold thus doesn't pair them all. Links are found without emitting all pairs of a group. Equal sets stand for one document. In each
 group of agreeing words the smallest document is paired with the others; pairs are verified on the
 whole sets, links make components, and then the pairs within a group whose ends are still in
 different components are compared by their parity bits, in blocks of bounded size that emit only
@@ -27,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkframe.llm import jobs
@@ -199,10 +200,10 @@ def describe(docs: DataFrame, number: str, text: str) -> DataFrame:
 
 
 _BLOB = "bucket int, keys binary, place binary, step binary, id binary, n binary, d binary, sure binary"
-#: Rows of ``_candidate_groups``: a group (documents and sizes), a hot group (and each one's step), and
-#: counts of hot groups (documents, how many, and 2 * sure + step).
+#: Rows of ``_candidate_groups``: a group (documents and sizes), a hot group (and each one's 2 * sure + step;
+#: ``times`` words have it), and counts of words in hot groups (documents, how many, and 2 * sure + step).
 COLD, HOT_GROUP, HEAT = 0, 1, 2
-_GROUPS = "kind int, members array<long>, sizes array<long>, more array<long>"
+_GROUPS = "kind int, members array<long>, sizes array<long>, more array<long>, times long"
 
 
 def _candidate_groups(docs: DataFrame, number: str, text: str, buckets: int) -> DataFrame:
@@ -265,15 +266,15 @@ def _candidate_groups(docs: DataFrame, number: str, text: str, buckets: int) ->
         same = mix(sums[start + sizes] - sums[start]) + sizes.astype(U64)
         out = []
         for kind, which in ((COLD, ~hot), (HOT_GROUP, hot)):
-            _, once = np.unique(same[which], return_index=True)
+            _, once, words = np.unique(same[which], return_index=True, return_counts=True)
             s, n = start[which][once], sizes[which][once]
             at = spread(s, n)
-            out.append((kind, n, c["id"][at], c["n"][at], c["step"][at] if kind else np.zeros(len(at), np.int64)))
+            out.append((kind, n, c["id"][at], c["n"][at], c["sure"][at] * 2 + c["step"][at] if kind else np.zeros(len(at), np.int64), words))
         if hot.any():
             at = spread(start[hot], sizes[hot])
             _, once, times = np.unique(mark[at], return_index=True, return_counts=True)
             at = at[once]
-            out.append((HEAT, [len(at)], c["id"][at], times, c["sure"][at] * 2 + c["step"][at]))
+            out.append((HEAT, [len(at)], c["id"][at], times, c["sure"][at] * 2 + c["step"][at], [0]))
         return _groups_table(out)
 
     return docs.select(number, text).mapInArrow(send, _BLOB).groupBy("bucket").applyInArrow(group, _GROUPS)
@@ -284,20 +285,25 @@ def _groups_table(parts) -> pa.Table:
     lengths = np.concatenate([np.asarray(p[1], np.int64) for p in parts]) if parts else np.zeros(0, np.int64)
     ends = pa.array(np.append(0, np.cumsum(lengths)), pa.int32())
     lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.asarray(p[k], np.int64) for p in parts]) if parts else [], pa.int64())) for k in (2, 3, 4)]
-    return pa.table({"kind": pa.array(kinds), "members": lists[0], "sizes": lists[1], "more": lists[2]})
+    times = np.concatenate([np.asarray(p[5], np.int64) for p in parts]) if parts else np.zeros(0, np.int64)
+    return pa.table({"kind": pa.array(kinds), "members": lists[0], "sizes": lists[1], "more": lists[2], "times": pa.array(times)})
 
 
 def _memberships(raw: DataFrame) -> DataFrame:
-    """(g, id, n): each group's documents, of hot groups only those that need them.
+    """(g, id, n): each group's documents, of hot groups only those that don't leave them.
 
-    A document whose hot groups, in a sketch, are fewer than the words it is sure to share with any
-    set it links with meets each of those in a group that isn't hot.
+    A document whose words in hot groups, in a sketch, are fewer than those it is sure to share leaves
+    them all; others leave the largest groups first, ties by g, while the words left are fewer. Groups
+    of the same documents from several buckets follow each other, so the last one decides.
     """
-    each = lambda kind: raw.filter(F.col("kind") == kind).select(F.xxhash64("kind", "members", "more").alias("g"), F.explode(F.arrays_zip(F.col("members").alias("id"), F.col("sizes").alias("n"), F.col("more").alias("more"))).alias("m")).select("g", "m.*")
-    heat = each(HEAT).select("id", (F.col("more") % 2).alias("step"), F.floor(F.col("more") / 2).alias("sure"), F.col("n").alias("times"))
-    bound = heat.groupBy("id", "step").agg(F.sum("times").alias("times"), F.min("sure").alias("sure")).filter("times >= sure").select("id", "step")
-    hot = each(HOT_GROUP).withColumnRenamed("more", "step").join(bound, ["id", "step"], "left_semi").select("g", "id", "n")
-    return each(COLD).select("g", "id", "n").unionByName(hot).distinct()
+    each = lambda kind, *more: raw.filter(F.col("kind") == kind).select(F.xxhash64("kind", "members", "more").alias("g"), *more, F.explode(F.arrays_zip(F.col("members").alias("id"), F.col("sizes").alias("n"), F.col("more").alias("more"))).alias("m")).select("g", *[c for c in ("heat", "times") if more], "m.*")
+    split = [(F.col("more") % 2).alias("step"), F.floor(F.col("more") / 2).alias("sure")]
+    heat = each(HEAT).select("id", *split, F.col("n").alias("times"))
+    bound = heat.groupBy("id", "step").agg(F.sum("times").alias("all"), F.min("sure").alias("least")).filter("all >= least").select("id", "step", "least")
+    hot = each(HOT_GROUP, F.size("members").alias("heat"), F.col("times")).select("g", "heat", "times", "id", "n", *split).join(bound, ["id", "step"])
+    so_far = F.sum("times").over(Window.partitionBy("id", "step").orderBy(F.desc("heat"), "g").rowsBetween(Window.unboundedPreceding, 0))
+    stays = hot.withColumn("so_far", so_far).filter("so_far >= least").select("g", "id", "n")
+    return each(COLD).select("g", "id", "n").unionByName(stays).distinct()
 
 
 #: So many document numbers at most are broadcast, 8 bytes each.

@@ -129,6 +129,27 @@ def test_ngram_join(docs, rows, empty):
     assert ngram_join.near_duplicates(empty).count() == 0
 
 
+def test_ngram_join_of_a_large_group_that_links_in_part(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CELL", 8)
+    rng, rows = np.random.default_rng(11), []
+    base = [f"b{i}" for i in range(160)]
+    for i in range(90):
+        words = list(base)
+        for at in rng.choice(160, rng.integers(0, 12), replace=False):
+            words[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(words)))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    first = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                low, high = sorted((first[a], first[b]))
+                first = {k: low if v == high else v for k, v in first.items()}
+    assert 1 < len(set(first.values())) < 90
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == first
+
+
 def test_ngram_join_of_many_that_share_a_passage(spark):
     """Hot groups: near copies link, texts that only share a passage don't, whatever group size is hot."""
     rng = np.random.default_rng(9)
