@@ -84,13 +84,15 @@ FAMILIES = (
     ("proprietary", "proprietary ", "proprietary(?: and confidential)?"),
     ("reserved", "all rights reserved ", "all rights reserved"),
 )
+#: What may stand before a name; every phrasing has one of these or a word beginning with "licen".
+TERMS_OF = ("governed by", "subject to", "according to", "in accordance with", "under")
 #: How a name is used: a rank (lower goes first), a weight, and the words around the name.
 PHRASINGS = (
     (0, 1.0, "(?:licensed|released|distributed|published|provided|available|covered)(?: as is)? under (?:the )?(?:terms (?:and conditions )?of )?(?:the |an? )?{name}(?: licen[cs]e)?(?: version [1-9](?: [0-9])?)?"),
     (1, 0.95, "spdx licen[cs]e identifier {name}"),
     (2, 0.9, "{name} licen[cs]e(?: version [1-9](?: [0-9])?| agreement)?"),
     (3, 0.8, "licen[cs]e {name}"),
-    (4, 0.7, "(?:governed by|subject to|according to|in accordance with|under) (?:the )?(?:terms of )?(?:the )?{name}(?: licen[cs]e)?"),
+    (4, 0.7, f"(?:{'|'.join(TERMS_OF)}) (?:the )?(?:terms of )?(?:the )?{{name}}(?: licen[cs]e)?"),
 )
 #: Names that say enough alone, with no phrase around them.
 STANDALONE = ("0bsd", "cc0", "cc-by", "cc-by-sa", "cc-by-nc", "cc-by-nd", "cc-by-nc-sa", "cc-by-nc-nd", "gpl", "gpl-2.0", "gpl-3.0", "lgpl", "agpl", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "bsd-4-clause", "mpl-2.0", "reserved", "wtfpl")
@@ -105,7 +107,7 @@ def rules() -> list[tuple[str, str, str, int, float]]:
 
 
 #: Beginnings of words, one of which any signature with a phrase around its name has.
-_PHRASES = ("licen", "under ", "subject to ", "according to ", "in accordance with ")
+_PHRASES = ("licen", *(f"{x} " for x in TERMS_OF))
 
 
 def normal(text: Column) -> Column:

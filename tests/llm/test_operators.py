@@ -386,6 +386,18 @@ def test_license_scan(spark, empty):
     assert all(whole[r["doc_id"]] == licenses_by_hand(r["text"]) for r in sample)
 
 
+def test_license_scan_finds_every_phrasing(spark):
+    """Phrases before a name, with no other word that the gate knows."""
+    names = ("MIT", "MIT X11", "Apache 2.0", "Mozilla Public", "GNU General Public", "public domain", "zlib")
+    openings = ("governed by", "subject to", "according to", "in accordance with", "under", "covered under", "licence", "SPDX license identifier")
+    texts = [f"Use is {o} {x}{n} text" for o in openings for x in ("", "the ", "the terms of the ") for n in names]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in licenses.scan(docs).select("row.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score").collect()}
+    assert got[texts.index("Use is governed by the MIT text")][-2:] == ("mit", 0.7)
+    for i, t in enumerate(texts):
+        assert got[i] == licenses_by_hand(t), t
+
+
 def test_native_plans_have_no_python(spark):
     for f in (quality_rules.op3_quality_rules, licenses.op10_license_scan):
         plan = f(spark, SF)._jdf.queryExecution().executedPlan().toString()
