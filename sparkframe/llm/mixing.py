@@ -15,7 +15,7 @@ named columns are used.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkframe.llm import jobs
@@ -60,25 +60,35 @@ def running(rows: DataFrame, keys: list[str], order: list, cell: str, value: str
     return joined.withColumn(out, inside + F.col("__before")).drop("__before")
 
 
-def mix(docs: DataFrame, number: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
-    """(number, size, source, source_size, target, passes, taken) of every document: how often the mix takes it, and how many words."""
-    c = lambda n: F.col(f"`{n}`")
-    shuffled = F.xxhash64(F.lit(seed), c(number).cast("string"), F.xxhash64(c(text)))
-    narrow = jobs.written(docs.select(c(number).cast("long").alias("id"), c(source).cast("string").alias("source"), n_words(c(text)).alias("size"), shuffled.alias("at")), "sizes")
+def sized(docs: DataFrame, row: Column, number: Column, text: Column, source: Column, seed: int = SEED) -> DataFrame:
+    """(row, id, source, size, at) of every document; ``row`` is a number of its own, fixed by being written."""
+    shuffled = F.xxhash64(F.lit(seed), number.cast("string"), F.xxhash64(text))
+    return jobs.written(docs.select(row.alias("row"), number.cast("long").alias("id"), source.cast("string").alias("source"), n_words(text).alias("size"), shuffled.alias("at")), "sizes")
+
+
+def decided(narrow: DataFrame) -> DataFrame:
+    """(row, id, source, size, source_size, target, passes) of every row of ``narrow``, which has the columns of ``sized``."""
     goal = targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")))
     cells = jobs.parts_for(narrow.count(), _CELL_ROWS)
     queue = narrow.withColumn("cell", F.pmod(F.col("at"), F.lit(cells)).cast("int"))
-    queue = running(queue, ["source"], ["at", "id", "size"], "cell", "size", "sofar")
-    joined = queue.alias("q").join(F.broadcast(goal).alias("g") if goal.count() <= 100_000 else goal.alias("g"), F.col("q.source").eqNullSafe(F.col("g.source"))).select("q.id", "q.source", "q.size", "q.at", "q.sofar", "g.source_size", "g.target")
+    queue = running(queue, ["source"], ["at", "id", "size", "row"], "cell", "size", "sofar")
+    joined = queue.alias("q").join(F.broadcast(goal).alias("g") if goal.count() <= 100_000 else goal.alias("g"), F.col("q.source").eqNullSafe(F.col("g.source"))).select("q.row", "q.id", "q.source", "q.size", "q.at", "q.sofar", "g.source_size", "g.target")
     # Both passes of the queue; times are in billionths of a source's target.
     time = lambda words: F.when(F.col("target") > 0, F.floor(words / F.col("target") * 1e9)).otherwise(F.lit(0)).cast("long")
     passes = joined.withColumn("pass", F.explode(F.array(*[F.lit(k) for k in range(REPEATS)]))).withColumn("finish", time((F.col("sofar") + F.col("pass") * F.col("source_size")).cast("double")))
     budget = F.floor(F.lit(SHARE_NUM) * F.sum("source_size") / SHARE_DEN).cast("long")
     total = goal.agg(F.coalesce(budget, F.lit(0)).alias("budget"))
     # Every queue's finish times run evenly to the budget at 1, so cells of equal time hold equal shares.
-    merged = running(passes.withColumn("slot", F.floor(F.col("finish") / F.lit(REPEATS * 1e9 / cells)).cast("long")), [], ["finish", "at", "id", "pass", "size"], "slot", "size", "words")
+    merged = running(passes.withColumn("slot", F.floor(F.col("finish") / F.lit(REPEATS * 1e9 / cells)).cast("long")), [], ["finish", "at", "id", "pass", "size", "source", "row"], "slot", "size", "words")
     chosen = merged.crossJoin(F.broadcast(total)).withColumn("in", (F.col("words") <= F.col("budget")) & (F.col("size") > 0))
-    per = chosen.groupBy("id", "source", "size", "at", "sofar", "source_size", "target").agg(F.sum(F.col("in").cast("long")).alias("passes"))
+    # Rows may agree in all but their own number.
+    return chosen.groupBy("row", "id", "source", "size", "source_size", "target").agg(F.sum(F.col("in").cast("long")).alias("passes"))
+
+
+def mix(docs: DataFrame, number: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
+    """(number, size, source, source_size, target, passes, taken) of every document: how often the mix takes it, and how many words."""
+    c = lambda n: F.col(f"`{n}`")
+    per = decided(sized(docs, F.monotonically_increasing_id(), c(number), c(text), c(source), seed))
     return per.select(F.col("id").alias(number), "size", "source", "source_size", "target", "passes", (F.col("passes") * F.col("size")).alias("taken"))
 
 

@@ -304,6 +304,14 @@ def test_mixing(docs, rows, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mixed(docs).columns == docs.columns
 
 
+def test_mixing_keeps_equal_rows_of_no_words(spark, docs, rows):
+    more = [(7, None, "s1"), (7, None, "s1"), (8, "", None), (8, "", None), (None, "  ", "s0"), (None, "  ", "s0"), (None, "  ", "s0"), (9, "a b", "s0"), (9, "a b", "s0")]
+    every = docs.select("doc_id", "text", "source").union(spark.createDataFrame(more, "doc_id long, text string, source string"))
+    got = mixing.mix(every).collect()
+    assert Counter((r["doc_id"], r["size"], r["source"]) for r in got) == Counter((r[0], len(words(r[1])), r[2]) for r in [*((d, t, s) for d, t, s, *_ in rows), *more])
+    assert all(r["taken"] == r["passes"] * r["size"] and (r["size"] or not r["passes"]) for r in got)
+
+
 def test_mixing_comes_near_its_targets(spark):
     got = mixing.op6_mixing(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source"), "doc_id").toPandas()
     by = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), most=("size", "max"))
