@@ -94,9 +94,11 @@ def mix(docs: DataFrame, number: str = "doc_id", text: str = "text", source: str
 
 def mixed(docs: DataFrame, number: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """``docs`` as the mix takes them: a document taken twice is there twice, one not taken is left out."""
-    found = mix(docs, number, text, source).groupBy(F.col(number).alias("id")).agg(F.max("passes").alias("passes"))
-    packed = carried(docs, own=F.col(f"`{number}`").cast("long"))
-    joined = packed.join(found, F.col("own").eqNullSafe(F.col("id"))).filter("passes > 0")
+    c = lambda n: F.col(f"row.`{n}`")
+    # Written, so that the numbers are the same when the rows are read again for the join.
+    packed = jobs.written(carried(docs, own=F.monotonically_increasing_id()), "numbered")
+    found = decided(sized(packed, F.col("own"), c(number), c(text), c(source))).select(F.col("row").alias("which"), "passes").filter("passes > 0")
+    joined = packed.join(found, F.col("own") == F.col("which"))
     return joined.select("row", F.explode(F.array_repeat(F.lit(1), F.col("passes").cast("int")))).select("row.*")
 
 

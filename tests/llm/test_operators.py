@@ -312,6 +312,20 @@ def test_mixing_keeps_equal_rows_of_no_words(spark, docs, rows):
     assert all(r["taken"] == r["passes"] * r["size"] and (r["size"] or not r["passes"]) for r in got)
 
 
+def test_mixed_takes_each_row_by_its_own_passes(spark):
+    """Documents without a number, some of them equal, are taken as often as the mix takes each."""
+    rows = [(None, f"t{i // 2} " * (1 + i % 7), f"s{i % 3}") for i in range(300)] + [(None, "a b", "s1")] * 5 + [(4, "c d e", "s0")] * 3 + [(None, None, "s2")]
+    every = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    per = Counter()
+    for r in mixing.mix(every).collect():
+        per[r["doc_id"], r["source"], r["size"]] += r["passes"]
+    got = mixing.mixed(every)
+    assert got.columns == every.columns
+    out = got.collect()
+    assert Counter((r["doc_id"], r["source"], len(words(r["text"]))) for r in out) == +per
+    assert sum(len(words(r["text"])) for r in out) <= 1.5 * sum(len(words(t)) for _, t, _ in rows)
+
+
 def test_mixing_comes_near_its_targets(spark):
     got = mixing.op6_mixing(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source"), "doc_id").toPandas()
     by = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), most=("size", "max"))
