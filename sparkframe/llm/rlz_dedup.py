@@ -1,10 +1,11 @@
-"""Substring removal by relative Lempel-Ziv parsing, over words.
-
-A document is parsed against all documents with smaller numbers. These are the reference, held as
-an index in blocks and dealt by content (see repeats.py): a run of windows whose stretch stands in
-the reference as a whole is taken in one step, so long copies become long factors, greedily. Where
-a factor ends, within a run whose stretch only partly agrees with the reference, each 13-word window
-over the boundary is looked up by itself. Factors of 13 words and more are duplicate spans.
+"""Substring removal over words, by looking windows up; in place of a relative Lempel-Ziv parse.
+
+A document is compared with all documents with smaller numbers. Windows of 13 words are dealt by
+content (see repeats.py): a run of windows whose stretch stands in a smaller document as a whole is
+answered in one step by the stretch's hash; in a run whose stretch only partly agrees, each window is
+looked up by itself. Words under repeated windows make the spans, here called factors. No document
+is parsed into longest matches: which windows repeat decides all rows, and a greedy parse would miss
+those across the end of a match.
 
 Defined results: a null text has no words; null numbers count as the largest; documents with equal
 numbers don't remove from each other; a text under 13 words and an empty table lose nothing;
