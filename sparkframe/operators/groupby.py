@@ -69,6 +69,13 @@ class GroupBy:
                 raise ValueError(f"unknown aggregate {op!r}; there are {', '.join(AGGREGATES)}")
             if name not in types:
                 raise KeyError(name)
+        if self._frame._joined is not None:
+            from sparkframe.operators.joins import aggregated
+
+            early = aggregated(self._frame._joined, self._keys, [(name, op, f"{op}({name})") for name, op in pairs])
+            if early is not None:
+                return DataFrame(early)
+        for name, op in pairs:
             c = F.col(quoted(name))
             if order_by is not None and op in _ORDERED:
                 by = F.when(c.isNotNull(), F.col(quoted(order_by)))  # a null order value is passed over
@@ -77,7 +84,12 @@ class GroupBy:
             else:
                 made = AGGREGATES[op](c, types[name])
             out.append(made.alias(f"{op}({name})"))
-        return DataFrame(self._frame.sdf.groupBy(*[F.col(quoted(k)) for k in self._keys]).agg(*out))
+        keys = [F.col(quoted(k)) for k in self._keys]
+        sdf = self._frame.sdf
+        if [op for _, op in pairs] == ["distinct"] and pairs[0][0] not in self._keys:
+            # Equal values go before the lists are made, a shuffle on key and value.
+            sdf = sdf.select(*keys, F.col(quoted(pairs[0][0]))).distinct()
+        return DataFrame(sdf.groupBy(*keys).agg(*out))
 
 
 class GroupedField:

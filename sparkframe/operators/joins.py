@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import functools
+from dataclasses import dataclass
 
+from pyspark.sql import DataFrame as SparkDataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KINDS = ("inner", "left_outer", "right_outer", "full_outer", "left_semi", "right_semi", "left_anti", "right_anti")
 _ALIASES = {"left": "left_outer", "right": "right_outer", "outer": "full_outer"}
@@ -54,4 +57,47 @@ def merge(left, right, on=None, left_on=None, right_on=None, how: str = "inner")
     if len({*names}) < len(names):
         raise ValueError("a suffixed name equals another column's: " + ", ".join(sorted({n for n in names if names.count(n) > 1})))
     inner = [*(f"l{i}" for i in range(len(left.columns))), *(f"r{i}" for i in range(len(right.columns)))]
-    return DataFrame(a.join(b, condition, how).select(*[F.col(x).alias(n) for x, n in zip(inner, names, strict=True)]))
+    out = DataFrame(a.join(b, condition, how).select(*[F.col(x).alias(n) for x, n in zip(inner, names, strict=True)]))
+    if how == "inner":
+        keys = [(f"l{left.columns.index(x)}", f"r{right.columns.index(y)}") for x, y in zip(left_on, right_on, strict=True)]
+        out._joined = Joined(a, b, keys, dict(zip(names, inner, strict=True)))
+    return out
+
+
+@dataclass(frozen=True)
+class Joined:
+    """What an inner join was made of: both sides, pairs of key columns, and the sides' column behind each name."""
+
+    left: SparkDataFrame
+    right: SparkDataFrame
+    keys: list[tuple[str, str]]
+    place: dict[str, str]
+
+
+def aggregated(joined: Joined, group: list[str], wanted: list[tuple[str, str, str]]):
+    """Sums and counts of a join grouped by all of its keys, from sums and counts of either side, or None.
+
+    Rows with the same keys pair all with all, so a side's count is multiplied by the other side's
+    number of rows instead of making the pairs. ``wanted`` has (column, operation, name).
+    """
+    from sparkframe.operators.frame import quoted
+
+    place, of_key = joined.place, {c: k for k, pair in enumerate(joined.keys) for c in pair}
+    by = [of_key.get(place[g]) for g in group]
+    if None in by or sorted(by) != list(range(len(joined.keys))) or any(op not in ("sum", "count") for _, op, _ in wanted):
+        return None
+    types = {f.name: f.dataType for side in (joined.left, joined.right) for f in side.schema}
+    # Equal keys of other types, or of floats that are equal and look different, would need the pairs.
+    plain = (T.IntegralType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
+    if any(types[a] != types[b] or not isinstance(types[a], plain) for a, b in joined.keys):
+        return None
+    if any(op == "sum" and not isinstance(types[place[c]], (T.IntegralType, T.DoubleType)) for c, op, _ in wanted):
+        return None
+    sides = []
+    for side, k, mark in ((joined.left, 0, "l"), (joined.right, 1, "r")):
+        parts = [{"sum": F.sum, "count": F.count}[op](F.col(place[c])).alias(f"v{i}") for i, (c, op, _) in enumerate(wanted) if place[c].startswith(mark)]
+        sides.append(side.groupBy(*[F.col(pair[k]).alias(f"{mark}k{i}") for i, pair in enumerate(joined.keys)]).agg(F.count("*").alias(f"{mark}n"), *parts))
+    met = sides[0].join(sides[1], functools.reduce(lambda x, y: x & y, [F.col(f"lk{i}") == F.col(f"rk{i}") for i in range(len(joined.keys))]))
+    other = {"l": "rn", "r": "ln"}
+    values = [(F.col(f"v{i}") * F.col(other[place[c][0]])).alias(name) for i, (c, _, name) in enumerate(wanted)]
+    return met.select(*[F.col(f"lk{k}").alias(g) for g, k in zip(group, by, strict=True)], *values)
