@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkframe.functions.expr import Expr, Field, wrap
-from sparkframe.session import get_session
+from sparkframe.session import get_session, is_dry
 
 
 def quoted(name: str) -> str:
@@ -16,6 +16,19 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def arrow_table(sdf: SparkDataFrame):
+    """All rows as an Arrow table, timestamps with a zone as the session's local time."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    table = sdf.toArrow()
+    for i, f in enumerate(table.schema):
+        if pa.types.is_timestamp(f.type) and f.type.tz:
+            zone = sdf.sparkSession.conf.get("spark.sql.session.timeZone")
+            table = table.set_column(i, f.name, pc.local_timestamp(table.column(i).cast(pa.timestamp(f.type.unit, zone))))
+    return table
+
+
 class DataFrame:
     """A table. Derived frames are new; only ``frame[name] = ...`` changes a frame in place."""
 
@@ -29,6 +42,8 @@ class DataFrame:
         if not isinstance(source, SparkDataFrame):
             raise NotImplementedError(f"a frame can't be made of {type(source).__name__}")
         self._sdf = source
+        #: For the rows of an inner join, what they were made of.
+        self._joined = None
 
     @property
     def sdf(self) -> SparkDataFrame:
@@ -55,6 +70,7 @@ class DataFrame:
 
     def __setitem__(self, name: str, value) -> None:
         sdf, column, _ = self._bind(wrap(value))
+        self._joined = None
         if sdf is self._sdf:
             self._sdf = sdf.withColumn(name, column)
             return
@@ -79,15 +95,25 @@ class DataFrame:
         return (sdf, *expr.lower(resolve))
 
     def get(self) -> pd.DataFrame:
-        """All rows, in this frame's order, as pandas."""
-        return self._sdf.toPandas()
+        """All rows, in this frame's order, as pandas; they travel as Arrow batches."""
+        if is_dry():
+            self.explain()
+            return pd.DataFrame(columns=self.columns)
+        return arrow_table(self._sdf).to_pandas()
 
     def print(self, n: int = 20) -> None:
-        self._sdf.show(n, truncate=False)
+        self.explain() if is_dry() else self._sdf.show(n, truncate=False)
 
     def size(self) -> int:
+        if is_dry():
+            self.explain()
+            return 0
         return self._sdf.count()
 
+    def memory_size(self) -> int:
+        """Bytes that the optimiser expects of this frame's rows."""
+        return int(self._sdf._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
     def __len__(self) -> int:
         return self.size()
 

@@ -6,9 +6,9 @@ import datetime
 import functools
 
 import numpy as np
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sparkframe.operators.align import numbered
 from sparkframe.operators.frame import DataFrame
 from sparkframe.operators.setops import concat
 from sparkframe.sources.parquet import read_parquet
@@ -212,6 +212,12 @@ def join_timestamp(orders, lineitem):
     return orders.merge(lineitem, left_on=["o_orderdate"], right_on=["l_shipdate"]).groupby("o_orderdate")["l_orderkey"].count()
 
 
+@query('SELECT l_orderkey AS l_orderkey_l, sum(l.l_quantity) AS "sum(l_quantity_l)", count(r.l_tax) AS "count(l_tax_r)" FROM lineitem l JOIN lineitem r USING (l_orderkey, l_suppkey) GROUP BY l_orderkey, l_suppkey', "lineitem")
+def join_many_to_many_sums(lineitem):
+    both = lineitem.merge(lineitem, on=["l_orderkey", "l_suppkey"])
+    return both.groupby(["l_orderkey_l", "l_suppkey_r"]).aggregate({"l_quantity_l": "sum", "l_tax_r": "count"})[["l_orderkey_l", "sum(l_quantity_l)", "count(l_tax_r)"]]
+
+
 @query("SELECT a.n_nationkey AS n_nationkey_l, a.n_name AS n_name_l, a.n_regionkey AS n_regionkey_l, b.n_nationkey AS n_nationkey_r, b.n_name AS n_name_r, b.n_regionkey AS n_regionkey_r FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey", "nation")
 def join_self(nation):
     return nation.merge(nation, on=["n_regionkey"])
@@ -290,7 +296,8 @@ def scalar_sum_count(part):
 
 def _ranked(frame, *keys):
     """The rank in key order, so that an order shows in a comparison that ignores rows' order."""
-    return frame.sdf.select(*keys, F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("long").alias("rn"))
+    ranked, _ = numbered(frame.sdf.select(*keys), "rn")
+    return ranked.withColumn("rn", F.col("rn") + 1)
 
 
 @query("SELECT p_retailprice, p_partkey, row_number() OVER (ORDER BY p_retailprice, p_partkey) AS rn FROM part", "part")
@@ -313,6 +320,16 @@ def sort_one_name(part):
     return _ranked(part.sort_values("p_partkey"), "p_partkey")
 
 
+@query(
+    "WITH t AS (SELECT c_custkey, CASE WHEN c_acctbal > 9000 THEN NULL WHEN c_acctbal < 0 THEN 'NaN'::DOUBLE ELSE c_acctbal END AS v FROM customer) SELECT c_custkey, v, row_number() OVER (ORDER BY v IS NULL, isnan(v), v DESC, c_custkey DESC) AS rn FROM t",
+    "customer",
+)
+def sort_nan_null(customer):
+    c = F.col("c_acctbal")
+    derived = DataFrame(customer.sdf.select("c_custkey", F.when(c <= 9000, F.when(c < 0, float("nan")).otherwise(c)).alias("v")))
+    return _ranked(derived.sort_values(["v", "c_custkey"], ascending=False), "c_custkey", "v")
+
+
 @query("SELECT * FROM customer UNION ALL SELECT * FROM customer", "customer")
 def concat_dups(customer):
     return concat([customer, customer])

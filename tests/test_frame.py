@@ -1,5 +1,7 @@
 import datetime
 import math
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -198,3 +200,73 @@ def test_pushdown_reaches_the_scan(spark):
     f = sf.read_parquet("/root/testdata/sf0.01/lineitem.parquet", spark)
     plan = f[f["l_quantity"] > 40.0][["l_orderkey", "l_quantity"]].sdf._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(l_quantity,40.0)" in plan and "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
+
+
+def test_positional_columns_that_clash(make):
+    """Names that the alignment could use itself are the user's."""
+    names = ["__id", "__part", "__start", "__position", "__other0_0", "x"]
+    left = make([(*range(k, k + 5), k) for k in range(20)], ", ".join(f"{n} long" for n in names)).sort_values("x", ascending=False)
+    right = make([(k, 100 + k) for k in range(20)], "__other0_0 long, __position long").sort_values("__position", ascending=False)
+    left["t"] = left["__id"] + right["__position"] + right["__other0_0"]
+    out = left.get()
+    assert out.columns.tolist() == [*names, "t"]
+    assert out["t"].tolist() == [k + 100 + k + k for k in range(19, -1, -1)] and out["x"].tolist() == list(range(19, -1, -1))
+
+
+def test_groups_of_a_join_by_its_keys(make):
+    """Sums and counts of either side equal those over the pairs, and no pairs are made."""
+    left = make([(1, "a", 2, None), (1, "a", 3, 1.5), (2, "b", 5, 2.0), (None, "a", 7, 1.0), (1, None, 1, 1.0), (3, "c", 1, 1.0)], "k int, s string, v int, w double")
+    right = make([(1, "a", 10), (1, "a", None), (2, "b", 4), (2, "b", 6), (None, "a", 1), (9, "z", 1)], "k int, s string, u int")
+    both = left.merge(right, on=["k", "s"])
+    spec = {"v": ["sum", "count"], "w": ["sum", "count"], "u": ["sum", "count"], "k_r": "count"}
+    early = both.groupby(["s_l", "k_r"]).aggregate(spec)
+    both["again"] = both["v"]  # not a plain join any more
+    plain = both.groupby(["s_l", "k_r"]).aggregate(spec)
+    assert early.columns == plain.columns
+    assert sorted(early.sdf.collect()) == sorted(plain.sdf.collect()) and early.size() == 2
+    plan = early.sdf._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")
+    assert both.merge(right, left_on=["k_l"], right_on=["k"]).groupby("s_l")["again"].sum().size() == 2
+
+
+def test_memory_size_and_dry_runs(spark, make, capsys):
+    f = make([(k,) for k in range(100)], "x long")
+    assert f.memory_size() >= 800
+    try:
+        s = sf.DebugSession(spark)
+        assert f[f["x"] > 3].size() == 0 and f.get().empty and f.get().columns.tolist() == ["x"]
+        f.print()
+        s.barrier(f)
+        assert capsys.readouterr().out.count("Physical Plan") == 5
+    finally:
+        sf.set_session(spark)
+    assert f.size() == 100
+
+
+def test_regex_paths_with_a_scheme(spark, tmp_path):
+    for k in range(3):
+        spark.range(k + 1).coalesce(1).write.parquet(str(tmp_path / f"t{k}"))
+        part = next((tmp_path / f"t{k}").glob("part-*.parquet"))
+        part.rename(tmp_path / f"part_{k}.parquet")
+    assert sf.read_parquet(f"file://{tmp_path}/part_[01]\\.parquet", spark).size() == 3
+    assert sf.read_parquet(f"file://{tmp_path}/part_2.parquet", spark).size() == 3
+    with pytest.raises(FileNotFoundError):
+        sf.read_parquet(f"file://{tmp_path}/none_[0-9]+\\.parquet", spark)
+
+
+def test_sessions(spark):
+    with pytest.raises(RuntimeError):
+        sf.LocalCluster(1, 97)
+    here = sf.LocalCluster(1, 4)
+    assert here.spark is spark and here.rescale(3) is False and sf.get_session() is spark
+    with pytest.raises(ValueError):
+        here.rescale(0)
+    with pytest.raises(ValueError):
+        sf.LocalCluster(3, 2)
+
+
+def test_a_session_ends(tmp_path):
+    """In a process of its own: connect by master, over-decompose, disconnect."""
+    code = "import sparkframe as sf\nfrom sparkframe.session import Session\ns = Session(master='local[2]', odf=3)\nassert s.spark.conf.get('spark.sql.shuffle.partitions') == '6'\nassert sf.DataFrame(s.spark.range(5)).persist().unpersist().size() == 5\ns.disconnect()\nassert s.spark.sparkContext._jsc is None\nc = sf.LocalCluster(1, 2, activity_timeout=7)\nassert c.spark.conf.get('spark.dynamicAllocation.executorIdleTimeout') == '7s' and c.spark.sparkContext.master == 'local[2]'\nprint('ended well')"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=tmp_path, timeout=120)
+    assert "ended well" in done.stdout, done.stderr[-2000:]
