@@ -13,27 +13,27 @@ from sparkframe.llm import jobs, mixing, ngram_join, packing, quality_rules, rlz
 
 
 def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that every quality rule lets pass."""
+    """Documents that every quality rule lets pass; null, empty and blank texts go, equal rows stay or go together."""
     return quality_rules.keep_good(docs)
 
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates."""
+    """The document with the smallest number of each group of near duplicates, once; texts without words and rows without a number stay, equal numbers are one document."""
     return ngram_join.one_of_each(docs)
 
 
 def substrings(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that an earlier document has; documents with nothing left go."""
+    """Texts without the passages that a document with a smaller number has, null being the largest; documents with nothing left go, texts that had no words stay."""
     return rlz_dedup.without_repeats(docs)
 
 
 def mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as the mix of sources takes them, some twice."""
+    """Documents as the mix of sources takes them, some twice; each row by itself, texts without words never, a null source is a source."""
     return mixing.mixed(docs)
 
 
 def pack(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's pieces and their places in sequences."""
+    """Each document's pieces and their places in sequences; a text without ids is its end token alone."""
     return packing.pack(docs)
 
 
