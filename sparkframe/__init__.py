@@ -7,6 +7,7 @@ scalar reduction asks for rows.
 from sparkframe.operators.frame import DataFrame
 from sparkframe.operators.setops import concat
 from sparkframe.session import (
+    DebugSession,
     LocalCluster,
     Session,
     get_interface,
@@ -18,6 +19,7 @@ from sparkframe.sources.parquet import read_parquet
 
 __all__ = [
     "DataFrame",
+    "DebugSession",
     "LocalCluster",
     "Session",
     "concat",

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame as SparkDataFrame
 from pyspark.sql import SparkSession
 
 _current: SparkSession | None = None
+_dry = False
 
 
 def set_session(spark: SparkSession) -> None:
     """Make ``spark`` the session that reads go to. May be called again."""
-    global _current
-    _current = spark
+    global _current, _dry
+    _current, _dry = spark, False
+
+
+def is_dry() -> bool:
+    """Whether plans are only shown, as a ``DebugSession`` was set last."""
+    return _dry
 
 
 def get_session() -> SparkSession:
@@ -51,7 +59,12 @@ class Session:
         """Ask the cluster manager for ``executors`` in all; False where it can't (local mode)."""
         if executors < 1:
             raise ValueError("executors must be at least 1")
-        return bool(self.spark.sparkContext._jsc.sc().requestTotalExecutors(executors, 0, self.spark._jvm.scala.collection.immutable.Map.empty())) if not self.spark.sparkContext.master.startswith("local[") and self.spark.sparkContext.master != "local" else False
+        sc = self.spark.sparkContext
+        if re.fullmatch(r"local(\[.*\])?", sc.master):
+            return False
+        # Python has no call of its own for this; the Scala one is a developer API.
+        nothing_pending = sc._jvm.scala.collection.immutable.Map.empty()
+        return bool(sc._jsc.sc().requestTotalExecutors(executors, 0, nothing_pending))
 
     def disconnect(self) -> None:
         global _current
@@ -61,19 +74,26 @@ class Session:
 
 
 class LocalCluster(Session):
-    """Between ``min_pes`` and ``max_pes`` local cores; idle cores cost nothing in one JVM.
+    """Between ``min_pes`` and ``max_pes`` cores; ``max_pes`` local ones unless another ``master`` is given.
 
-    On a real cluster the same bounds become dynamic allocation's.
+    On a cluster the bounds are those of dynamic allocation, which lets executors go that have been idle
+    for ``activity_timeout`` seconds; the cores of one local JVM cost nothing when idle. A session that is
+    already running can't be given other cores, so it is refused.
     """
 
-    def __init__(self, min_pes: int = 1, max_pes: int | None = None, odf: int = 4, activity_timeout: int = 60):
+    def __init__(self, min_pes: int = 1, max_pes: int | None = None, odf: int = 4, activity_timeout: int = 60, master: str | None = None):
         top = max_pes or min_pes
         if not 1 <= min_pes <= top:
             raise ValueError("1 <= min_pes <= max_pes must hold")
+        master, running = master or f"local[{top}]", SparkSession.getActiveSession()
+        if running is not None and running.sparkContext.master != master:
+            raise RuntimeError(f"a session on {running.sparkContext.master} is running; disconnect it first")
         super().__init__(
-            master=f"local[{top}]",
+            master=master,
             odf=odf,
             conf={
+                "spark.dynamicAllocation.enabled": "true",
+                "spark.dynamicAllocation.shuffleTracking.enabled": "true",
                 "spark.dynamicAllocation.minExecutors": str(min_pes),
                 "spark.dynamicAllocation.maxExecutors": str(top),
                 "spark.dynamicAllocation.executorIdleTimeout": f"{activity_timeout}s",
@@ -81,6 +101,22 @@ class LocalCluster(Session):
         )
 
 
+class DebugSession(Session):
+    """A dry run: calls build and check their plans, and what would run them shows the plan instead.
+
+    ``get`` gives a frame without rows, ``size`` gives 0.
+    """
+
+    def __init__(self, spark: SparkSession | None = None, **options):
+        global _dry
+        super().__init__(spark, **options)
+        _dry = True
+
+    def barrier(self, *frames) -> None:
+        for frame in frames:
+            getattr(frame, "sdf", frame).explain("formatted")
+
+
 def set_interface(interface: Session | SparkSession) -> None:
     set_session(getattr(interface, "spark", interface))
 

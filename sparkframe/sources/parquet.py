@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -11,15 +12,19 @@ from pyspark.sql import types as T
 
 from sparkframe.session import get_session
 
-_REMOTE = re.compile(r"^[a-z][a-z0-9+.-]*://", re.IGNORECASE)
+_REMOTE = re.compile(r"^[a-z][a-z0-9+.-]*://[^/]*", re.IGNORECASE)
 
 
-def expand(path: str) -> list[str]:
+def expand(path: str, spark=None) -> list[str]:
     """Sorted files below the path's parent folder whose whole path matches it as a regex.
 
-    A path that exists is taken as it is, and so is one with a scheme, which Spark resolves.
+    A path that exists is taken as it is. One with a scheme is listed through Hadoop's file system,
+    so any store that Spark reads will do; its scheme and host are no part of the regex.
     """
-    if _REMOTE.match(path) or os.path.exists(path):
+    remote = _REMOTE.match(path)
+    if remote:
+        return _expand_remote(path, remote[0], spark or get_session())
+    if os.path.exists(path):
         return [path]
     pattern, top = re.compile(path), os.path.dirname(path) or "."
     while top and not os.path.isdir(top) and os.path.dirname(top) != top:
@@ -30,17 +35,39 @@ def expand(path: str) -> list[str]:
     return found
 
 
+def _expand_remote(path: str, host: str, spark) -> list[str]:
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    fs = make(host + "/").getFileSystem(spark._jsc.hadoopConfiguration())
+    inner = path[len(host) :]
+    if not re.search(r"[][\\^$|?*+(){}]", inner) or fs.exists(make(path)):
+        return [path]
+    top = os.path.dirname(inner)
+    while len(top) > 1 and not fs.exists(make(host + top)):
+        top = os.path.dirname(top)
+    pattern, files, found = re.compile(inner), fs.listFiles(make(host + top), True), []
+    while files.hasNext():
+        name = files.next().getPath().toUri().getPath()
+        if pattern.fullmatch(name):
+            found.append(host + name)
+    if not found:
+        raise FileNotFoundError(f"no file matches {path!r}")
+    return sorted(found)
+
+
 def scan(path: str, spark=None):
     """A Spark DataFrame over the files; all of them must have the same columns and types."""
     spark = spark or get_session()
-    files = expand(path)
+    files = expand(path, spark)
     try:
-        if len(files) > 1:
-            schemas = [spark.read.parquet(f).schema for f in files]
-            for f, s in zip(files, schemas, strict=True):
-                if [(x.name, x.dataType) for x in s] != [(x.name, x.dataType) for x in schemas[0]]:
+        first = spark.read.parquet(files[0])
+        if len(files) == 1:
+            return first
+        # Footers are read side by side.
+        with ThreadPoolExecutor(16) as readers:
+            for f, s in zip(files, readers.map(lambda f: spark.read.parquet(f).schema, files), strict=True):
+                if [(x.name, x.dataType) for x in s] != [(x.name, x.dataType) for x in first.schema]:
                     raise ValueError(f"{f} has other columns than {files[0]}")
-        return spark.read.parquet(*files)
+        return spark.read.schema(first.schema).parquet(*files)
     except AnalysisException as e:
         if "PARQUET_TYPE_ILLEGAL" not in str(e):
             raise
