@@ -5,10 +5,12 @@ beside it says whether more follow, and level k + 1 holds the next chunks of jus
 directory counts the bits set before every 512, so any id is found from its place by one count a
 level, without decoding others.
 
-File: magic, then 64-bit little-endian numbers (partition, file within it, documents, ids, levels),
-document numbers, a byte each that tells null, document bounds, and for each level its length, its
-chunks, its continuation bits and its directory. Files are written and read by Spark, on whatever
-file system the shared folder is; a task that is run again writes its files anew.
+File: magic, the length and crc32 of what follows, then 64-bit little-endian numbers (partition, file
+within it, documents, ids, levels), document numbers, a byte each that tells null, document bounds,
+and for each level its length, its chunks, its continuation bits and its directory.
+Files are written and read by Spark, on whatever file system the shared folder is; a task that is run
+again writes its files anew. A file whose bytes were changed on the way, or whose directory doesn't
+lead to each document's end token, is refused.
 
 Defined results: a null text is empty and has the end token alone; null numbers come first, equal
 numbers in the order of a hash of their texts; an empty table gives no rows.
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from sparkframe.llm import bpe, jobs
 
-MAGIC, END_ID = b"SFDAC001", 2
+MAGIC, END_ID = b"SFDAC002", 2
 _DIRECTORY = 512
 #: Ids of a file, and bytes of text that one writing task takes.
 FILE_IDS, TASK_BYTES = 4 << 20, 24 << 20
@@ -43,20 +45,24 @@ def encode(ids: np.ndarray, bounds: np.ndarray, numbers: list, place: tuple[int,
         ones = np.bitwise_count(bits).reshape(-1, _DIRECTORY // 8).sum(axis=1)
         levels.append((rest.astype(np.uint8), bits, (np.cumsum(ones) - ones).astype("<u4")))
         rest = rest[more] >> 8
-    out = [MAGIC, struct.pack("<5q", *place, len(numbers), len(ids), len(levels)), np.array([x or 0 for x in numbers], "<i8").tobytes(), np.array([x is None for x in numbers], np.uint8).tobytes(), np.asarray(bounds, "<i8").tobytes()]
+    out = [struct.pack("<5q", *place, len(numbers), len(ids), len(levels)), np.array([x or 0 for x in numbers], "<i8").tobytes(), np.array([x is None for x in numbers], np.uint8).tobytes(), np.asarray(bounds, "<i8").tobytes()]
     for chunks, bits, directory in levels:
         out += [struct.pack("<q", len(chunks)), chunks.tobytes(), bits.tobytes(), directory.tobytes()]
-    return b"".join(out)
+    body = b"".join(out)
+    return MAGIC + struct.pack("<qI", len(body), zlib.crc32(body)) + body
 
 
 class TokenFile:
     """A file's documents, and any id by its place."""
 
     def __init__(self, raw: bytes):
-        if raw[:8] != MAGIC:
+        if raw[:8] != MAGIC or len(raw) < 60:
             raise ValueError("not a file of token ids")
-        self.partition, self.index, docs, self.n, levels = struct.unpack_from("<5q", raw, 8)
-        at = 48
+        size, crc = struct.unpack_from("<qI", raw, 8)
+        if len(raw) < 20 + size or zlib.crc32(memoryview(raw)[20 : 20 + size]) != crc:
+            raise ValueError("a file of token ids was changed")
+        self.partition, self.index, docs, self.n, levels = struct.unpack_from("<5q", raw, 20)
+        at = 60
 
         def take(kind, n):
             nonlocal at
@@ -85,6 +91,27 @@ class TokenFile:
             i, shift = int(directory[block]) + int(np.bitwise_count(own).sum()), shift + 8
         return value
 
+    def take(self, places: np.ndarray) -> np.ndarray:
+        """The ids at any places, each found by the directories alone."""
+        at, which, shift = np.asarray(places, np.int64).copy(), np.arange(len(places)), 0
+        if len(at) and not (0 <= at.min() and at.max() < self.n):
+            raise IndexError("a place outside of the file")
+        out = np.zeros(len(at), np.uint32)
+        for chunks, bits, directory in self.levels:
+            out[which] |= chunks[at].astype(np.uint32) << np.uint32(shift)
+            more = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            at, which = at[more], which[more]
+            if not len(at):
+                break
+            # Bits set before: the directory's count, and those of the block's bytes up to the place.
+            block = at // _DIRECTORY
+            own = bits.reshape(-1, _DIRECTORY // 8)[block]
+            inside = np.arange(_DIRECTORY // 8)[None] * 8
+            left = np.clip((at - block * _DIRECTORY)[:, None] - inside, 0, 8)
+            set_before = np.bitwise_count(own & ((1 << left) - 1).astype(np.uint8)).sum(axis=1, dtype=np.int64)
+            at, shift = directory[block].astype(np.int64) + set_before, shift + 8
+        return out
+
     def ids(self) -> np.ndarray:
         """All ids, level by level."""
         out, where = np.zeros(self.n, np.uint32), np.arange(self.n)
@@ -129,7 +156,7 @@ def write(docs: DataFrame, number: str = "doc_id", text: str = "text", path: str
     return folder
 
 
-def read(spark, folder: str) -> DataFrame:
+def read(spark, folder: str, end_id: int = END_ID) -> DataFrame:
     """(number, start, n_tokens, ids_crc32) of every document, from the files alone."""
 
     def run(batches):
@@ -137,6 +164,8 @@ def read(spark, folder: str) -> DataFrame:
             for raw in batch.column("content"):
                 f = TokenFile(raw.as_buffer().to_pybytes())
                 ids, n = f.ids().astype("<u4"), np.diff(f.bounds)
+                if (f.take(f.bounds[1:] - 1) != end_id).any():
+                    raise ValueError("a document in a file of token ids doesn't end with the end token")
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(f.bounds[:-1], f.bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), f.partition)), pa.array(np.full(len(n), f.index)), pa.array(f.numbers, pa.int64(), mask=f.null), pa.array(f.bounds[:-1]), pa.array(n), pa.array(crc, pa.int64())], ["part", "file", "id", "start", "n_tokens", "ids_crc32"])
 
