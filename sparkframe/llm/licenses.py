@@ -1,7 +1,7 @@
 """License scans by ordered signature rules.
 
-Hundreds of signatures (families of names times phrasings) are regular expressions over a text's
-words. A family's rules run on a text only if it holds the family's keyword, and, for names that say
+Hundreds of signatures are regular expressions over a text's words: sentences of the licenses' own
+texts, written out by hand, and families of names times phrasings. A family's rules run on a text only if it holds the family's keyword, and, for names that say
 too little alone, a beginning of the phrasings. Detections carry a priority; one that lies within another of the same or a higher priority is
 suppressed. Everything is a Spark expression over one row: no user functions and no shuffle.
 
@@ -12,6 +12,7 @@ alike; extra columns are carried along; an empty table gives no rows.
 from __future__ import annotations
 
 import functools
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,6 +85,59 @@ FAMILIES = (
     ("proprietary", "proprietary ", "proprietary(?: and confidential)?"),
     ("reserved", "all rights reserved ", "all rights reserved"),
 )
+#: Sentences that only a license's own text has, by label: a part of the grant, conditions or disclaimer, as words.
+SENTENCES = (
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy"),
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and ?or sell copies"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit-0", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so the software is provided"),
+    ("isc", "permission to use copy modify and ?or distribute this software for any purpose with or without fee is hereby granted"),
+    ("0bsd", "permission to use copy modify and ?or distribute this software for any purpose with or without fee is hereby granted the software is provided"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-3-clause", "neither the name of [^|]{1,80} nor the names of its contributors may be used to endorse or promote products derived from this software"),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledg(?:e)?ment"),
+    ("apache-2.0", "you may not use this file except in compliance with the license"),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache-2.0", "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable"),
+    ("apache", "this product includes software developed (?:by|at) the apache (?:software foundation|group)"),
+    ("gpl", "is free software you can redistribute it and ?or modify it under the terms of the gnu general public license"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program"),
+    ("gpl", "the licenses for most software are designed to take away your freedom to share and change it"),
+    ("gpl-3.0", "the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("lgpl", "you should have received a copy of the gnu lesser general public license along with this (?:library|program)"),
+    ("lgpl", "the precise terms and conditions for copying distribution and modification follow pay close attention to the difference between a work based on the library"),
+    ("agpl", "you should have received a copy of the gnu affero general public license along with this program"),
+    ("agpl", "your modified version must prominently offer all users interacting with it remotely through a computer network"),
+    ("gfdl", "permission is granted to copy distribute and ?or modify this document under the terms of the gnu free documentation license"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v ?2 0"),
+    ("mpl-2.0", "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("cddl", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("artistic", "the intent of this document is to state the conditions under which a package may be copied"),
+    ("zlib", "this notice may not be removed or altered from any source distribution"),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("openssl", "this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("ofl", "the font software may be sold as part of a larger software package but no copy of one or more of the font software typefaces may be sold by itself"),
+    ("ofl", "this license allows the licensed fonts to be used studied modified and redistributed freely as long as they are not sold by themselves"),
+    ("odbl", "is made available under the open database license any rights in individual contents of the database are licensed under the database contents license"),
+    ("cc0", "to the extent possible under law [^|]{1,80} has waived all copyright and related or neighboring rights to"),
+    ("cc-by", "this work is licensed under a creative commons attribution (?:[1-4] [05] )?(?:international |unported |generic )?license"),
+    ("cc-by-sa", "if you remix transform or build upon the material you must distribute your contributions under the same license as the original"),
+    ("cc-by-nc", "you may not use the material for commercial purposes"),
+    ("cc-by-nd", "if you remix transform or build upon the material you may not distribute the modified material"),
+    ("public-domain", "has been placed in the public domain"),
+    ("public-domain", "hereby dedicates? (?:any and all copyright interest in )?the software to the public domain"),
+    ("reserved", "no part of this publication may be reproduced"),
+    ("reserved", "no part of this book may be reproduced"),
+    ("proprietary", "confidential and proprietary (?:information|property) of"),
+    ("proprietary", "unauthorized copying of this (?:file|software|document)"),
+)
 #: What may stand before a name; every phrasing has one of these or a word beginning with "licen".
 TERMS_OF = ("governed by", "subject to", "according to", "in accordance with", "under")
 #: How a name is used: a rank (lower goes first), a weight, and the words around the name.
@@ -97,13 +151,24 @@ PHRASINGS = (
 #: Names that say enough alone, with no phrase around them.
 STANDALONE = ("0bsd", "cc0", "cc-by", "cc-by-sa", "cc-by-nc", "cc-by-nd", "cc-by-nc-sa", "cc-by-nc-nd", "gpl", "gpl-2.0", "gpl-3.0", "lgpl", "agpl", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "bsd-4-clause", "mpl-2.0", "reserved", "wtfpl")
 _RANKS = len(PHRASINGS) + 1
+#: The rank of sentences: those of a license's own text go before what is said about it.
+_OWN_TEXT = 0
+
+
+def _opening(pattern: str) -> str:
+    """The words that a sentence begins with, up to the first that may differ."""
+    plain = re.match(r"[a-z0-9 ]*", pattern)[0]
+    if plain == pattern:
+        return plain
+    certain = plain[:-1] if pattern[len(plain)] == "?" else plain
+    return certain.rpartition(" ")[0] + " "
 
 
 def rules() -> list[tuple[str, str, str, int, float]]:
     """(label, keyword, regular expression, rank, weight) of every signature, in order."""
     out = [(label, key, p.replace("{name}", name), rank, weight) for rank, weight, p in PHRASINGS for label, key, name in FAMILIES]
     out += [(label, key, name, _RANKS - 1, 0.6) for label, key, name in FAMILIES if label in STANDALONE]
-    return out
+    return [(label, _opening(p), p, _OWN_TEXT, 1.0) for label, p in SENTENCES] + out
 
 
 #: Beginnings of words, one of which any signature with a phrase around its name has.
@@ -186,8 +251,9 @@ def detect(text: Column) -> Column:
     none = F.expr("cast(array() as array<string>)")
     nowhere = F.expr("cast(array() as array<bigint>)")
     empty = F.struct(nowhere.alias("places"), none.alias("base"), none.alias("labels"), F.lit(0.0).alias("score"))
-    # Without a phrase, only names that say enough alone can be found.
-    alone, phrased = _rule_table(r for r in rules() if r[3] == _RANKS - 1), _rule_table(rules())
+    # Without a phrase, only sentences, and names that say enough alone, can be found.
+    sentences, more = len(SENTENCES), rules()
+    alone, phrased = _rule_table(r for k, r in enumerate(more) if k < sentences or r[3] == _RANKS - 1), _rule_table(more)
 
     def scanned(joined: Column) -> Column:
         words = F.split(F.trim(joined), " ")
