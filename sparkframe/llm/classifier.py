@@ -122,7 +122,9 @@ def train(docs: DataFrame, labels: DataFrame, number: str = "doc_id", text: str
     known = labels.select(F.col(f"`{number}`").cast("long").alias("id"), F.col(f"`{label}`").cast("double").alias("y")).filter(F.col("id").isNotNull() & F.col("y").isin(0.0, 1.0) & (remainder(F.col("id")) != 0))
     chosen = known.orderBy(F.xxhash64(F.lit(SEED), "id"), "id", "y").limit(sample)
     texts = docs.select(F.col(f"`{number}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    stats = texts.join(F.broadcast(chosen), "id").select("id", statistics(F.col("text")).alias("s"), "y")  # at most ``sample`` rows of two numbers
+    # One text of a number, so that the sample bounds what reaches the driver.
+    once = texts.join(F.broadcast(chosen.select("id").distinct()), "id", "left_semi").groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    stats = once.join(F.broadcast(chosen), "id").select("id", statistics(F.col("text")).alias("s"), "y")  # at most ``sample`` rows of two numbers
     rows = stats.select("id", *[F.col(f"s.{f}").cast("double").alias(f) for f in FEATURES], "y").toPandas().sort_values(["id", "y", *FEATURES]).drop(columns="id").to_numpy(float)
     return fit(rows[:, :-1], rows[:, -1])
 
