@@ -8,7 +8,7 @@ The model is fitted on the driver on at most ``SAMPLE`` labelled rows, those wit
 of their number, which bounds its memory at any size of the corpus.
 
 Defined results: null, empty and blank texts get the score of their statistics, all zero; without
-labels, or with one label only, the score is the share of 1 among labels, one of each added; rows with null numbers
+labels, with one label only, or with too few to split, the score is the share of 1 among labels, one of each added; rows with null numbers
 are scored and not held out; documents with several labels count with each; extra columns are ignored.
 """
 
@@ -95,6 +95,8 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, pe
         draw = rng.integers(0, len(y), min(len(y), 4000))
         _grow(x[draw], y[draw], rng, depth, (), found)
     rules = sorted(found)
+    if not rules:  # too few rows to split
+        return Model(prior, ())
     held = np.stack([_holds(x, r) for r in rules], axis=1).astype(float)
     # Rows that satisfy the same rules are one row with a weight.
     rows, back = np.unique(held, axis=0, return_inverse=True)
