@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -15,15 +16,16 @@ _made: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """This application's folder below spark.checkpoint.dir, which all executors see.
 
-    Where the setting is absent, a local session gets a temporary folder and a cluster its warehouse.
+    Where the setting is absent, a local session gets a temporary folder; a cluster is refused, as no
+    folder is known that its executors share.
     """
     sc = spark.sparkContext
     top = sc.getConf().get("spark.checkpoint.dir")
     if not top:
-        top = _made.get(sc.applicationId)
-        if not top:
-            top = tempfile.mkdtemp(prefix="sparkframe-") if sc.master.startswith("local") and "cluster" not in sc.master else f"{spark.conf.get('spark.sql.warehouse.dir')}/.scratch"
-            _made[sc.applicationId] = top
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = _made.get(sc.applicationId) or tempfile.mkdtemp(prefix="sparkframe-")
+        _made[sc.applicationId] = top
     folder = f"{top.rstrip('/')}/sparkframe-{sc.applicationId}"
     if folder not in _made:
         _made[folder] = folder
@@ -32,6 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def _remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder, if it and the session are still there."""
     try:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -47,7 +50,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: its lineage ends here."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` made and that no plan reads any more."""
+    for t in tables:
+        _remove(t.sparkSession, t._scratch)
 
 
 def total_bytes(df: DataFrame, text: str) -> int:

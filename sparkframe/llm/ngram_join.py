@@ -42,8 +42,8 @@ CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 16 << 20
 BAND, DENSITY = DEN / NUM, 0.42
 #: A group of more documents than this is hot.
 HOT = 16
-#: 64-bit words of the folded sketches, and about so many documents that a cell compares with so many others.
-SHORT_WORDS, CELL = 32, 512
+#: 64-bit words of the folded sketches at most; documents, and shingles of them all, in a block that a cell compares with another.
+SHORT_WORDS, CELL, CELL_SHINGLES = 256, 512, 1 << 19
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,14 +186,14 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
 
 
 def describe(docs: DataFrame, number: str, text: str) -> DataFrame:
-    """(number, n, d0, d1, bits, short) of every row: its set's size, digest, parity bits, and long ones folded."""
+    """(number, n, d0, d1, bits, short) of every row: its set's size, digest, parity bits, and these folded once and to ``SHORT_WORDS`` words at most."""
 
     def run(batches):
         for batch in batches:
             for num, hashes, bounds in _sets_of(batch, number, text):
                 d = digests(hashes, bounds).view(np.int64)
                 bits, at = bit_sketches(hashes, bounds)
-                short = [folded(bits[i:j].view(U64)[None], SHORT_WORDS).tobytes() if j - i > 8 * SHORT_WORDS else None for i, j in zip(at[:-1], at[1:], strict=True)]
+                short = [folded(bits[i:j].view(U64)[None], min(SHORT_WORDS, max(1, (j - i) // 16))).tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(num), pa.array(np.diff(bounds)), pa.array(d[0]), pa.array(d[1]), column_of(bits, at, binary=True), pa.array(short, pa.binary())], ["id", "n", "d0", "d1", "bits", "short"])
 
     return docs.select(number, text).mapInArrow(run, "id long, n long, d0 long, d1 long, bits binary, short binary")
@@ -352,13 +352,46 @@ def _links(pairs: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
     sets = jobs.written(_set_table(docs, close.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "hashes")
     side = lambda k, v: sets.select(F.col("id").alias(k), F.col("hashes").alias(v))
     near = close.join(side("b", "y"), "b").join(side("a", "x"), "a")
-    return jobs.written(near.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+    out = jobs.written(near.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+    jobs.dropped(close, sets)
+    return out
 
 
 def _alike(na, nb):
     return DEN * F.least(na, nb) >= NUM * F.greatest(na, nb)
 
 
+def _scored(groups: DataFrame) -> DataFrame:
+    """``groups`` with each document's ``score``, the sizes of its groups summed: what many near copies have in common scores highest."""
+    sizes = jobs.written(groups.groupBy("g").agg(F.count("*").alias("size")), "sizes")
+    scores = jobs.written(groups.join(sizes, "g").groupBy("id").agg(F.sum("size").alias("score")), "scores")
+    out = jobs.written(groups.join(scores, "id").select("g", "id", "n", "score"), "scored")
+    jobs.dropped(sizes, scores, groups)
+    return out
+
+
+def _placed(groups: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``groups`` with the component that each document is in so far."""
+    if roots is None:
+        return groups.withColumn("root", F.col("id"))
+    return groups.join(roots.withColumnRenamed("v", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
+_BEST = "max_by(struct(id, n, root), struct(score, -id))"
+
+
+def _open_groups(placed: DataFrame) -> DataFrame:
+    """Of groups with documents of several components: g, and the document that scores highest."""
+    return placed.groupBy("g").agg(F.expr(_BEST).alias("head"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("g", "head")
+
+
+def _star(placed: DataFrame, centres: DataFrame) -> DataFrame:
+    """Pairs of each group's centre with its documents of other components, as sizes allow."""
+    met = placed.join(centres, "g").filter((F.col("root") != F.col("head.root")) & _alike(F.col("n"), F.col("head.n")))
+    first = F.col("head.id") < F.col("id")
+    return met.select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b"), F.when(first, F.col("head.n")).otherwise(F.col("n")).alias("na"), F.when(first, F.col("n")).otherwise(F.col("head.n")).alias("nb")).distinct()
+
+
 def near_duplicates(docs: DataFrame, number: str = "doc_id", text: str = "text") -> DataFrame:
     """(number, n_shingles, component_id, class_id) for every row of ``docs``.
 
@@ -371,57 +404,104 @@ def near_duplicates(docs: DataFrame, number: str = "doc_id", text: str = "text")
     # About a byte of keys and places travels for each byte of text.
     buckets = jobs.parts_for(size, BUCKET_BYTES, 12)
     described = jobs.written(describe(known, "id", "text"), "sets")
-    classes = described.filter("n > 0").groupBy("n", "d0", "d1").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
     sketches = described.select("id", "bits")
-    groups = jobs.written(_memberships(jobs.written(_candidate_groups(known, "id", "text", buckets), "candidates")), "groups")
-
-    heads = groups.groupBy("g").agg(F.min(F.struct("id", "n")).alias("head"))
-    star = groups.join(heads, "g").select(F.col("head.id").alias("a"), F.col("id").alias("b"), F.col("head.n").alias("na"), F.col("n").alias("nb"))
-    star = jobs.written(star.filter((F.col("a") != F.col("b")) & _alike("na", "nb")).distinct(), "pairs")
-    links = _links(star, sketches, known)
+    candidates = jobs.written(_candidate_groups(known, "id", "text", buckets), "candidates")
+    memberships = jobs.written(_memberships(candidates), "groups")
+    jobs.dropped(candidates)
+    groups = _scored(memberships)
+
+    # Each group's best document against all, then the best of what that one didn't reach.
+    heads = jobs.written(_open_groups(_placed(groups, None)), "heads")
+    links = _links(jobs.written(_star(_placed(groups, None), heads), "pairs"), sketches, known)
     roots = components(links)
-    short = described.select("id", F.coalesce("short", "bits").alias("short"))
-    more = _links(_open_pairs(groups, roots, short).join(star, ["a", "b"], "left_anti"), sketches, known)
-
-    # Each class takes its component's root; its other copies follow it, and so do rows that share a number.
-    member = described.join(classes.filter("copies > 1"), ["n", "d0", "d1"], "left").select("id", "n", F.coalesce("class_id", "id").alias("class_id"))
-    whole = components(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(more).unionByName(member.filter("class_id <> id AND n > 0").select(F.col("id").alias("a"), F.col("class_id").alias("b"))))
-    placed = member.join(whole.withColumnRenamed("v", "id"), "id", "left")
-    out = placed.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "id")).otherwise(F.col("id")).alias("component_id"), "class_id")
+    jobs.dropped(heads)
+    heads = jobs.written(_open_groups(_placed(groups, roots)), "heads")
+    rest = _placed(groups, roots).join(heads.select("g", F.col("head.root").alias("done")), "g").filter("root <> done")
+    second = jobs.written(rest.groupBy("g").agg(F.expr(_BEST).alias("head")), "heads")
+    more = _links(jobs.written(_star(_placed(groups, roots), second), "pairs"), sketches, known)
+    if not more.isEmpty():
+        roots = components(links.unionByName(more))
+    # What is left is compared in cells. Documents of one class follow its first; rows that share a number join their classes.
+    links = roots.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(_cell_links(groups, roots, described, known))
+    classes = jobs.written(described.filter("n > 0").groupBy("n", "d0", "d1").agg(F.min("id").alias("class_id"), F.count("*").alias("copies")).filter("copies > 1").drop("copies"), "classes")
+    member = jobs.written(described.join(classes, ["n", "d0", "d1"], "left").select("id", "n", F.coalesce("class_id", "id").alias("class_id")), "members")
+    shared = member.filter("n > 0").groupBy("id").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y"), F.collect_set("class_id").alias("all")).filter("x <> y").select(F.explode("all").alias("a"), F.col("x").alias("b"))
+    whole = components(links.unionByName(shared).filter("a <> b"))
+    placed = member.join(whole.select(F.col("v").alias("class_id"), "root"), "class_id", "left")
+    out = placed.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "class_id")).otherwise(F.col("id")).alias("component_id"), "class_id")
     loose = docs.filter("id IS NULL")
     counted = describe(loose.select(F.lit(0).cast("long").alias("id"), "text"), "id", "text")
     none = F.lit(None).cast("long")
     return out.unionByName(counted.select(none.alias("id"), F.col("n").alias("n_shingles"), none.alias("component_id"), none.alias("class_id"))).withColumnRenamed("id", number)
 
 
-def _open_pairs(groups: DataFrame, roots: DataFrame, short: DataFrame) -> DataFrame:
-    """Pairs (a, b, na, nb) within a group that may link by size and folded bits, with ends in different components.
+def _cells(left: DataFrame, done: DataFrame) -> DataFrame:
+    """(g, i, j, x, y, id, n, root): the documents of groups ``left`` (g, id, n, root) dealt into cells.
 
-    A group is dealt into blocks of about ``CELL`` documents and each two blocks meet in a cell, so
-    no task holds a whole group; a cell compares bits and emits only the pairs that are left.
+    In a group, only documents outside of the component ``done`` (g, done) can bring a link that joins
+    anything. These are dealt into blocks as rows of a table (x), and all documents as columns (y); a
+    cell holds one block of either kind, of bounded size.
     """
-    placed = groups.join(roots.withColumnRenamed("v", "id"), "id", "left").select("g", "id", "n", F.coalesce("root", "id").alias("root"))
-    open_ = placed.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.ceil(F.count("*") / CELL).cast("int").alias("blocks")).filter("x <> y").select("g", "blocks")
-    left = placed.join(open_, "g").join(short, "id").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    met = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cell = ["g", "i", "j"]
-    cells = met.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "n", "root", "own", "short")
-    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cells.repartition(parts, *cell).sortWithinPartitions(*cell).mapInArrow(_compared, "a long, b long, na long, nb long").distinct()
-
-
-def _compared(batches):
-    """The pairs of each cell that may link; its rows stand together, and the last cell of a batch waits for the next."""
-    rest = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
+    left = jobs.written(left.join(done, "g").select("g", "id", "n", "root", (F.col("root") != F.col("done")).alias("out")), "left")
+    blocks = lambda n, size: F.greatest(F.ceil(n / CELL), F.ceil(size / CELL_SHINGLES)).cast("int")
+    outside = F.col("out").cast("long")
+    dealt = jobs.written(left.groupBy("g").agg(blocks(F.sum(outside), F.sum(outside * F.col("n"))).alias("rows"), blocks(F.count("*"), F.sum("n")).alias("columns")), "blocks")
+    own = left.join(dealt, "g").withColumn("i", F.pmod(F.xxhash64("id"), "rows").cast("int")).withColumn("j", F.pmod(F.xxhash64("id"), "columns").cast("int"))
+    at = lambda i, j, x, y: F.struct(i.alias("i"), j.alias("j"), x.alias("x"), y.alias("y"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    down = F.transform(upto("rows"), lambda i: at(i, F.col("j"), F.col("out") & (i == F.col("i")), F.lit(True)))
+    across = F.transform(F.filter(upto("columns"), lambda j: F.col("out") & (j != F.col("j"))), lambda j: at(F.col("i"), j, F.lit(True), F.lit(False)))
+    return own.select(F.explode(F.concat(down, across)).alias("c"), "g", "id", "n", "root").select("g", "c.*", "id", "n", "root")
+
+
+def _in_cells(cells: DataFrame, what: DataFrame, column: str, work) -> DataFrame:
+    """(a, b) that ``work`` finds in the cells, whose rows get ``what``'s ``column`` by id."""
+    key, parts = ["g", "i", "j"], int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cells.join(what, "id").select(*key, "x", "y", "id", "n", "root", column).repartition(parts, *key).sortWithinPartitions(*key)
+    return rows.mapInArrow(_by_cell(work), "a long, b long").distinct()
+
+
+def _cell_links(groups: DataFrame, roots: DataFrame, described: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) that join what is left of every group, fewer in each cell than it has documents.
+
+    Cells compare folded bits first. Pairs that may link make clusters, across all groups, of which a
+    cell gives out a spanning forest; pairs within a cluster are then verified on the whole sets, in cells
+    again, and what comes out is a spanning forest of the links.
+    """
+    placed = _placed(groups, roots)
+    done = jobs.written(_open_groups(placed).select("g", F.col("head.root").alias("done")), "heads")
+    short = described.select("id", "short")
+    near = components(_in_cells(_cells(placed, done), short, "short", _near_in_cells))
+    jobs.dropped(done)
+    sizes = described.select("id", "n").join(near.select(F.col("v").alias("id"), F.col("root").alias("g")), "id").distinct()
+    left = jobs.written(_placed(sizes, roots).select("g", "id", "n", "root"), "clusters")
+    done = jobs.written(left.groupBy("g", "root").count().groupBy("g").agg(F.max_by("root", F.struct("count", "root")).alias("done")), "heads")
+    sets = jobs.written(_set_table(docs, left.select("id").distinct()), "hashes")
+    return jobs.written(_in_cells(_cells(left, done), sets, "hashes", _forest_in_cells), "links")
+
+
+def _by_cell(work):
+    """Apply ``work`` to tables of whole cells; a cell's rows stand together, and the last cell of a batch waits for the next."""
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if rest is not None:
+                table = pa.concat_tables([rest, table])
+            edge = _cell_edges(table)
+            rest = table.slice(edge[-2])
+            yield from links(table.slice(0, edge[-2]), edge[:-1])
         if rest is not None:
-            table = pa.concat_tables([rest, table])
-        edge = _cell_edges(table)
-        rest = table.slice(edge[-2])
-        yield from _near_in_cells(table.slice(0, edge[-2]))
-    if rest is not None:
-        yield from _near_in_cells(rest)
+            yield from links(rest, _cell_edges(rest))
+
+    def links(table, edge):
+        found = work(_Cells(table), edge) if len(edge) > 1 else []
+        if found:
+            a, b = np.array(found, np.int64).T
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return run
 
 
 def _cell_edges(table: pa.Table) -> np.ndarray:
@@ -433,35 +513,138 @@ def _cell_edges(table: pa.Table) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(new) + 1, [len(g)]])
 
 
-def _near_in_cells(table: pa.Table):
-    """Blocks i and j against each other, or a block within itself, by folded bits."""
-    ids, n, root, own, block, other = (table.column(c).to_numpy() for c in ("id", "n", "root", "own", "i", "j"))
-    data, at = bytes_of(table.column("short"))
-    edge, found = _cell_edges(table), []
+class _Cells:
+    """The rows of some cells as arrays, and which pairs of them may link."""
+
+    def __init__(self, table: pa.Table):
+        self.id, self.n, self.root, self.x, self.y = (table.column(c).to_numpy() for c in ("id", "n", "root", "x", "y"))
+        self.data, self.at = bytes_of(table.column(table.num_columns - 1))
+        self.words = np.diff(self.at) // 8
+
+    def hold(self, data: np.ndarray, at: np.ndarray) -> None:
+        """Compare these bits from now on."""
+        self.data, self.at, self.words = data, at, np.diff(at) // 8
+
+    def bits(self, rows: np.ndarray, words: int) -> np.ndarray:
+        out = np.empty((len(rows), words), U64)
+        for m in np.unique(self.words[rows]).tolist():
+            which = np.flatnonzero(self.words[rows] == m)
+            out[which] = folded(self.data[self.at[rows[which]][:, None] + np.arange(8 * m)].view(U64), words)
+        return out
+
+    def _within(self, a, b):
+        return DEN * np.minimum(a, b) >= NUM * np.maximum(a, b)
+
+    def near_pairs(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Which of the pairs may link, by roles, components, sizes and bits."""
+        n = self.n
+        ok = ((self.x[p] & self.y[q]) | (self.x[q] & self.y[p])) & (self.root[p] != self.root[q]) & self._within(n[p], n[q])
+        left = np.flatnonzero(ok)
+        least = np.minimum(self.words[p[left]], self.words[q[left]])
+        for w in np.unique(least).tolist():
+            pick = left[least == w]
+            for i in range(0, len(pick), max(1, _BITS_AT_ONCE // w)):
+                some = pick[i : i + max(1, _BITS_AT_ONCE // w)]
+                rows, back = np.unique(np.concatenate([p[some], q[some]]), return_inverse=True)
+                bits = self.bits(rows, w)
+                differ = np.bitwise_count(bits[back[: len(some)]] ^ bits[back[len(some) :]]).sum(axis=1, dtype=np.int64)
+                ok[some] = differ <= (n[p[some]] + n[q[some]]) * (DEN - NUM) // (DEN + NUM)
+        return ok
+
+    def near_block(self, s: int, e: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The rows x and y of a cell, and a table of which may link."""
+        x, y = s + np.flatnonzero(self.x[s:e]), s + np.flatnonzero(self.y[s:e])
+        if not len(x) or not len(y):
+            return x, y, np.zeros((len(x), len(y)), bool)
+        rows = np.arange(s, e)
+        bits = self.bits(rows, int(self.words[rows].min()))
+        differ = np.zeros((len(x), len(y)), np.int32)
+        for w in range(bits.shape[1]):
+            differ += np.bitwise_count(bits[x - s, w][:, None] ^ bits[y - s, w][None])
+        a, b = self.n[x][:, None], self.n[y][None]
+        return x, y, (differ <= (a + b) * (DEN - NUM) // (DEN + NUM)) & self._within(a, b) & (self.root[x][:, None] != self.root[y][None])
+
+
+#: 64-bit words of sketches that are compared at once, and rows of a cell whose pairs are compared together with other cells'.
+_BITS_AT_ONCE, _SMALL = 1 << 20, 64
+
+
+class _Forest:
+    """Components that grow by links, of which it keeps those that joined two."""
+
+    def __init__(self, ids: np.ndarray, root: np.ndarray):
+        self.ids, self.root, self.above, self.links = ids, root, {}, []
+
+    def find(self, r: int) -> int:
+        while r in self.above:
+            r = self.above[r]
+        return r
+
+    def apart(self, p: int, others: np.ndarray) -> np.ndarray:
+        """Which of the other rows aren't in row ``p``'s component."""
+        own = self.find(int(self.root[p]))
+        return others[np.array([self.find(r) != own for r in self.root[others].tolist()], bool)]
+
+    def link(self, p: int, q: int) -> None:
+        a, b = self.find(int(self.root[p])), self.find(int(self.root[q]))
+        if a != b:
+            self.above[max(a, b)] = min(a, b)
+            self.links.append((self.ids[p], self.ids[q]))
+
+
+def _near_in_cells(cells: _Cells, edge: np.ndarray) -> list:
+    """A spanning forest of each cell's pairs that may link by folded bits; each document stands for itself."""
+    links, sizes = [], np.diff(edge)
+    small = (sizes > 1) & (sizes <= _SMALL)
+    if small.any():
+        # All pairs of all small cells, in memory only.
+        rows = spread(edge[:-1][small], sizes[small])
+        first = np.repeat(edge[:-1][small], sizes[small])
+        p, q = np.repeat(rows, rows - first), spread(first, rows - first)
+        near = cells.near_pairs(p, q)
+        last, forest = -1, None
+        for c, a, b in zip(np.searchsorted(edge, p[near], "right").tolist(), p[near].tolist(), q[near].tolist(), strict=True):
+            if c != last:
+                links += forest.links if forest else []
+                last, forest = c, _Forest(cells.id, cells.id)
+            forest.link(a, b)
+        links += forest.links if forest else []
+    for s, e in zip(edge[:-1][sizes > _SMALL].tolist(), edge[1:][sizes > _SMALL].tolist(), strict=True):
+        x, y, near = cells.near_block(s, e)
+        forest = _Forest(cells.id, cells.id)
+        for k in np.flatnonzero(near.any(axis=1)).tolist():
+            for q in y[near[k]].tolist():
+                forest.link(int(x[k]), q)
+        links += forest.links
+    return links
+
+
+def _forest_in_cells(cells: _Cells, edge: np.ndarray) -> list:
+    """Links that join components within each cell, by the whole sets: each joins two that weren't joined."""
+    hashes, at = np.frombuffer(cells.data.tobytes(), U64), cells.at // 8
+    cells.n = n = np.diff(at)
+    cells.hold(*bit_sketches(hashes, at))
+    links = []
     for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        if e - s < 2 or (root[s:e] == root[s]).all():
+        x, y, near = cells.near_block(s, e)
+        if not near.any():
             continue
-        length = np.diff(at[s : e + 1])
-        words = int(length.min()) // 8
-        bits = np.empty((e - s, words), U64)
-        for m in np.unique(length).tolist():
-            which = np.flatnonzero(length == m)
-            bits[which] = folded(data[at[s + which][:, None] + np.arange(m)].view(U64), words)
-        x, y = np.flatnonzero(own[s:e] == block[s]), np.flatnonzero(own[s:e] == other[s])
-        differ = np.zeros((len(x), len(y)), np.int32)
-        for w in range(words):
-            differ += np.bitwise_count(bits[x, w][:, None] ^ bits[y, w][None])
-        x, y = x + s, y + s
-        p, q = np.nonzero(differ <= (n[x][:, None] + n[y][None]) * (DEN - NUM) // (DEN + NUM))
-        x, y = x[p], y[q]
-        keep = (root[x] != root[y]) & (DEN * np.minimum(n[x], n[y]) >= NUM * np.maximum(n[x], n[y])) & (ids[x] != ids[y])
-        x, y = x[keep], y[keep]
-        swap = ids[x] > ids[y]
-        x, y = np.where(swap, y, x), np.where(swap, x, y)
-        found.append(np.stack([ids[x], ids[y], n[x], n[y]]))
-    if found:
-        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in pairs], ["a", "b", "na", "nb"])
+        codes = np.unique(hashes[at[s] : at[e]], return_inverse=True)[1]
+        mark = np.zeros(int(codes.max()) + 1, bool)
+        forest = _Forest(cells.id, cells.root)
+        for k in np.flatnonzero(near.any(axis=1)).tolist():
+            p = int(x[k])
+            q = forest.apart(p, y[near[k]])
+            if not len(q):
+                continue
+            own = codes[at[p] - at[s] : at[p + 1] - at[s]]
+            mark[own] = True
+            both = np.add.reduceat(mark[codes[spread(at[q] - at[s], n[q])]].astype(np.int64), np.cumsum(n[q]) - n[q])
+            mark[own] = False
+            for o in q[DEN * both >= NUM * (n[p] + n[q] - both)].tolist():
+                forest.link(p, o)
+        links += forest.links
+    return links
 
 
 def one_of_each(docs: DataFrame, number: str = "doc_id", text: str = "text") -> DataFrame:
