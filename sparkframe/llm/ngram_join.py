@@ -416,17 +416,22 @@ def near_duplicates(docs: DataFrame, number: str = "doc_id", text: str = "text")
     roots = components(links)
     jobs.dropped(heads)
     heads = jobs.written(_open_groups(_placed(groups, roots)), "heads")
-    rest = _placed(groups, roots).join(heads.select("g", F.col("head.root").alias("done")), "g").filter("root <> done")
-    second = jobs.written(rest.groupBy("g").agg(F.expr(_BEST).alias("head")), "heads")
-    more = _links(jobs.written(_star(_placed(groups, roots), second), "pairs"), sketches, known)
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
-    # What is left is compared in cells. Documents of one class follow its first; rows that share a number join their classes.
-    links = roots.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(_cell_links(groups, roots, described, known))
+    joined = roots.select(F.col("v").alias("a"), F.col("root").alias("b"))
+    if not heads.isEmpty():
+        rest = _placed(groups, roots).join(heads.select("g", F.col("head.root").alias("done")), "g").filter("root <> done")
+        second = jobs.written(rest.groupBy("g").agg(F.expr(_BEST).alias("head")), "heads")
+        more = _links(jobs.written(_star(_placed(groups, roots), second), "pairs"), sketches, known)
+        if not more.isEmpty():
+            roots = components(links.unionByName(more))
+            joined = roots.select(F.col("v").alias("a"), F.col("root").alias("b"))
+        # What is left is compared in cells.
+        joined = joined.unionByName(_cell_links(groups, roots, described, known))
+    # Documents of one class follow its first; rows that share a number join their classes.
     classes = jobs.written(described.filter("n > 0").groupBy("n", "d0", "d1").agg(F.min("id").alias("class_id"), F.count("*").alias("copies")).filter("copies > 1").drop("copies"), "classes")
     member = jobs.written(described.join(classes, ["n", "d0", "d1"], "left").select("id", "n", F.coalesce("class_id", "id").alias("class_id")), "members")
-    shared = member.filter("n > 0").groupBy("id").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y"), F.collect_set("class_id").alias("all")).filter("x <> y").select(F.explode("all").alias("a"), F.col("x").alias("b"))
-    whole = components(links.unionByName(shared).filter("a <> b"))
+    several = jobs.written(member.filter("n > 0").groupBy("id").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y")).filter("x <> y").select("id", "x"), "several")
+    shared = member.filter("n > 0").join(several, "id").select(F.col("class_id").alias("a"), F.col("x").alias("b")).distinct()
+    whole = components(joined.unionByName(shared).filter("a <> b"))
     placed = member.join(whole.select(F.col("v").alias("class_id"), "root"), "class_id", "left")
     out = placed.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "class_id")).otherwise(F.col("id")).alias("component_id"), "class_id")
     loose = docs.filter("id IS NULL")
