@@ -5,9 +5,11 @@ and belongs to the signed axis it lies nearest to. Several tables with rotations
 vector; a query looks into the buckets of the axes it lies nearest to, in every table, and candidates
 are ranked exactly by inner product in double precision.
 
-Buckets are cut into blocks of bounded size, and a query goes to every block of a bucket, so a bucket
-of any size is searched whole. Equal vectors stand in the tables once, with the smallest ids that a
-query can need; equal queries are searched once.
+The vectors and the queries of every bucket are counted first; a bucket with more than ``BLOCK_ROWS`` of
+either is cut into blocks, and every block of queries meets every block of vectors, so a bucket of any
+size is searched whole by tasks of bounded size. Only the counts, two for each axis of each table, reach the
+driver. Equal vectors stand in the tables once, with the smallest ids that a query can need; equal queries
+are searched once. Candidates near the last place are told apart by sums in the order of the final scores.
 
 Defined results: vectors that are null, of another length than most, zero, or with null or non-finite
 components take no part, as query or candidate; a query with fewer candidates than asked gets all
@@ -22,10 +24,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkframe.llm import jobs
+from sparkframe.llm.tokens import mix, spread
 
 TABLES, PROBES, SEED = 8, 16, 7
-#: Vectors of a block.
-BLOCK_ROWS = 4096
+#: Vectors, or queries, of a block, and pairs that are scored at once.
+BLOCK_ROWS, TILE = 16_384, 1 << 22
 
 
 def rotations(dims: int, tables: int, seed: int = SEED) -> np.ndarray:
@@ -63,6 +66,37 @@ def _matrix(column) -> np.ndarray:
     return np.asarray(values, np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
+def in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products over the last axis, added one after another as the final scores are."""
+    out = np.zeros(np.broadcast_shapes(a.shape[:-1], b.shape[:-1]))
+    for d in range(a.shape[-1]):
+        out += a[..., d] * b[..., d]
+    return out
+
+
+def nearest(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of ``a`` the ``k`` rows of ``b`` with the largest products, ties to the first; and the products.
+
+    A matrix product picks some more than ``k``, and sums in order decide among them. A row in which it
+    can't tell those picked from the others, as their products lie within its rounding, is summed in order whole.
+    """
+    rough = a @ b.T
+    k, more = min(k, len(b)), min(2 * k + 8, len(b))
+    pick = np.argpartition(-rough, more - 1, axis=1)[:, :more]
+    pick.sort(axis=1)
+    score = in_order(a[:, None, :], b[pick])
+    order = np.argsort(-score, axis=1, kind="stable")[:, :k]
+    top, score = np.take_along_axis(pick, order, axis=1), np.take_along_axis(score, order, axis=1)
+    if more < len(b):
+        slack = 4 * a.shape[1] * np.finfo(float).eps * np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1).max()
+        lowest = np.take_along_axis(rough, pick, axis=1).min(axis=1)
+        for r in np.flatnonzero(~(lowest < score[:, -1] - slack)):
+            whole = in_order(a[r][None], b)
+            top[r] = np.argsort(-whole, kind="stable")[:k]
+            score[r] = whole[top[r]]
+    return top, score
+
+
 def usable(vector):
     """Whether a vector column's value takes part."""
     ok = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
@@ -84,36 +118,63 @@ def search(vectors: DataFrame, is_query, k: int, number: str = "vec_id", vector:
     distinct = jobs.written(few.groupBy("h", "v").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("rep", F.col("ids")[0]), "vectors")
     asked = jobs.written(rows.filter(is_query).select(F.col("id").alias("query_id"), "v"), "queries")
     asked_distinct = asked.select("v").distinct().join(distinct.select("v", "rep"), "v")
-    size = distinct.count()
     signs = rotations(dims["n"], tables)
     width = signs.shape[2]
-    salts = jobs.parts_for(size, BLOCK_ROWS * width * 2)
 
-    def place(probe: int):
+    def buckets(x: np.ndarray, probe: int) -> np.ndarray:
+        """Each vector's buckets in all tables, a row each."""
+        unit = x / np.abs(x).max(axis=1, keepdims=True)
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        return np.concatenate([t * 2 * width + axes(rotate(unit, signs[t]), probe) for t in range(tables)], axis=1)
+
+    def parts(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                part = batch.slice(i, 4096)
+                yield part, _matrix(part.column("v"))
+
+    def counted(df: DataFrame, probe: int) -> np.ndarray:
+        """How many blocks each bucket needs."""
+
+        def run(batches):
+            total = np.zeros(tables * 2 * width, np.int64)
+            for _, x in parts(batches):
+                total += np.bincount(buckets(x, probe).ravel(), minlength=len(total))
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["key", "n"])
+
+        out = np.ones(tables * 2 * width, np.int64)
+        for r in df.select("v").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect():  # two for each axis of each table at most
+            out[r["key"]] = -(-r["n"] // BLOCK_ROWS)
+        return out
+
+    held_blocks, sought_blocks = counted(distinct, 1), counted(asked_distinct, probes)
+
+    def place(probe: int, own: np.ndarray, others: np.ndarray, query: bool):
+        """Each vector in a block of its own kind in each of its buckets, once for every block of the other kind."""
+
         def run(batches):
-            for batch in batches:
-                for i in range(0, batch.num_rows, 4096):
-                    part = batch.slice(i, 4096)
-                    x, reps, v = _matrix(part.column("v")), part.column("rep").to_numpy(), part.column("v")
-                    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-                    for t in range(tables):
-                        where = axes(rotate(unit, signs[t]), probe)
-                        if probe == 1:
-                            salt = reps % salts
-                            take = np.arange(len(x))
-                            bucket = where[:, 0]
-                        else:  # to every block of each bucket
-                            take = np.repeat(np.arange(len(x)), where.shape[1] * salts)
-                            bucket = np.repeat(where.ravel(), salts)
-                            salt = np.tile(np.arange(salts), where.size)
-                        key = (np.int64(t) * 2 * width + bucket) * salts + salt
-                        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(reps[take]), v.take(pa.array(take))], ["key", "rep", "v"])
+            for part, x in parts(batches):
+                reps = part.column("rep").to_numpy()
+                where = buckets(x, probe)
+                each = max(1, 65536 // where.shape[1])
+                for i in range(0, len(x), each):
+                    key = where[i : i + each].ravel()
+                    row = np.repeat(np.arange(i, min(len(x), i + each)), where.shape[1])
+                    mine = (mix(reps[row].view(np.uint64), 5) % own[key].astype(np.uint64)).astype(np.int64)
+                    copies = others[key]
+                    other = spread(np.zeros(len(key), np.int64), copies)
+                    key, row, mine = np.repeat(key, copies), np.repeat(row, copies), np.repeat(mine, copies)
+                    a, b = (mine, other) if query else (other, mine)
+                    for k in range(0, len(key), 65536):
+                        s = slice(k, k + 65536)
+                        yield pa.RecordBatch.from_arrays([pa.array(key[s]), pa.array(a[s]), pa.array(b[s]), pa.array(reps[row[s]]), part.column("v").take(pa.array(row[s]))], ["key", "i", "j", "rep", "v"])
 
         return run
 
-    schema = "key long, rep long, v array<double>"
-    held = distinct.select("rep", "v").mapInArrow(place(1), schema)
-    sought = asked_distinct.select("rep", "v").mapInArrow(place(probes), schema)
+    schema = "key long, i long, j long, rep long, v array<double>"
+    held = distinct.select("rep", "v").mapInArrow(place(1, held_blocks, sought_blocks, False), schema)
+    sought = asked_distinct.select("rep", "v").mapInArrow(place(probes, sought_blocks, held_blocks, True), schema)
 
     def rank(queries: pa.Table, block: pa.Table) -> pa.Table:
         out = {"query": [], "rep": [], "score": []}
@@ -122,16 +183,15 @@ def search(vectors: DataFrame, is_query, k: int, number: str = "vec_id", vector:
             order = np.argsort(ids)
             b, ids = b[order], ids[order]
             a, names = _matrix(queries.column("v").combine_chunks()), queries.column("rep").to_numpy()
-            for i in range(0, len(a), 512):
-                score = a[i : i + 512] @ b.T
-                most = min(k + 1, score.shape[1])
-                top = np.argsort(-score, axis=1, kind="stable")[:, :most]
-                out["query"].append(np.repeat(names[i : i + 512], most))
+            each = min(2048, max(1, TILE // len(b)))
+            for i in range(0, len(a), each):
+                top, score = nearest(a[i : i + each], b, k + 1)
+                out["query"].append(np.repeat(names[i : i + each], top.shape[1]))
                 out["rep"].append(ids[top].ravel())
-                out["score"].append(np.take_along_axis(score, top, axis=1).ravel())
+                out["score"].append(score.ravel())
         return pa.table({c: pa.array(np.concatenate(x) if x else np.zeros(0), pa.float64() if c == "score" else pa.int64()) for c, x in out.items()})
 
-    found = sought.groupBy("key").cogroup(held.groupBy("key")).applyInArrow(rank, "query long, rep long, score double")
+    found = sought.groupBy("key", "i", "j").cogroup(held.groupBy("key", "i", "j")).applyInArrow(rank, "query long, rep long, score double")
     found = found.groupBy("query", "rep").agg(F.max("score").alias("score"))
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "rep"))).filter(F.col("r") <= k + 1).select("query", "rep")
     # Scores anew, each in one fixed order of additions, so that equal pairs have equal scores.
