@@ -4,6 +4,7 @@ import subprocess
 import sys
 
 import numpy as np
+import pandas as pd
 import pytest
 
 import sparkframe as sf
@@ -270,3 +271,13 @@ def test_a_session_ends(tmp_path):
     code = "import sparkframe as sf\nfrom sparkframe.session import Session\ns = Session(master='local[2]', odf=3)\nassert s.spark.conf.get('spark.sql.shuffle.partitions') == '6'\nassert sf.DataFrame(s.spark.range(5)).persist().unpersist().size() == 5\ns.disconnect()\nassert s.spark.sparkContext._jsc is None\nc = sf.LocalCluster(1, 2, activity_timeout=7)\nassert c.spark.conf.get('spark.dynamicAllocation.executorIdleTimeout') == '7s' and c.spark.sparkContext.master == 'local[2]'\nprint('ended well')"
     done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=tmp_path, timeout=120)
     assert "ended well" in done.stdout, done.stderr[-2000:]
+
+
+def test_frames_of_pandas_come_back(spark):
+    sf.set_session(spark)
+    given = pd.DataFrame({"i": [3, 1, 2], "s": ["x", None, "z"], "t": pd.to_datetime(["2024-01-01", "2024-02-03 04:05:06.789", "1999-12-31"]), "b": [True, False, True]})
+    f = DataFrame(given)
+    got = f.sort_values("i").get()
+    assert got["i"].tolist() == [1, 2, 3] and got["s"].isna().tolist() == [True, False, False]
+    assert (got["t"].to_numpy() == given.sort_values("i")["t"].to_numpy()).all() and got["b"].tolist() == [False, True, True]
+    assert len(f) == 3 and f[f["i"] > 5].get().empty
