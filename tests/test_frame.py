@@ -275,7 +275,7 @@ def test_a_session_ends(tmp_path):
 
 def test_frames_of_pandas_come_back(spark):
     sf.set_session(spark)
-    given = pd.DataFrame({"i": [3, 1, 2], "s": ["x", None, "z"], "t": pd.to_datetime(["2024-01-01", "2024-02-03 04:05:06.789", "1999-12-31"]), "b": [True, False, True]})
+    given = pd.DataFrame({"i": [3, 1, 2], "s": ["x", None, "z"], "t": pd.to_datetime(["2024-01-01", "2024-02-03 04:05:06.789", "1999-12-31"], format="ISO8601"), "b": [True, False, True]})
     f = DataFrame(given)
     got = f.sort_values("i").get()
     assert got["i"].tolist() == [1, 2, 3] and got["s"].isna().tolist() == [True, False, False]
