@@ -3,18 +3,17 @@
 A window is ``length`` consecutive symbols: bytes, or words. Documents are dealt into blocks.
 Every window is represented by its least-hashed ``gram``, its anchor; equal windows have equal
 anchors at equal places, so they meet when anchors are dealt by hash. Neighbouring windows with
-the same anchor form one run, and a run is one entry, not one for each window:
+the same anchor form one run, and a run travels as one stretch of text, not window by window:
 
-1. Each block sends, for each run, the hashes of its anchor and of the whole run's stretch.
-2. Anchors that occur once end here. A run whose whole stretch also stands in a smaller document
-   repeats as a whole. What is left (an anchor within different stretches) is answered "compare".
-3. Blocks send the symbols themselves for runs to compare, one a stretch and smallest document,
-   and the windows in them are grouped by a method the caller gives.
+1. Each block sends the hashes of its runs' anchors to buckets. Anchors of one document only end here.
+2. For the others, blocks send the stretches of text themselves, one for equal stretches of a block.
+3. In each bucket equal stretches become one, and a method the caller gives compares the windows.
 4. Blocks put the answers together.
 
-Entries travel as packed arrays, one row for each block and bucket, with equal runs of a block
-merged before, so a passage in a third of all documents costs an entry a block. Blocks, buckets
-and contexts have bounded sizes whatever the input's size is; only their number grows.
+Hashes only deal windows out and rule them out: what is marked as repeated has been compared byte
+by byte (``Equal``). Entries travel as packed arrays, one row for each block and bucket, so a
+passage in a third of all documents costs one stretch a block. Blocks, buckets and stretches have
+bounded sizes whatever the input's size is; only their number grows.
 """
 
 from __future__ import annotations
@@ -28,12 +27,53 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkframe.llm import jobs
-from sparkframe.llm.tokens import U64, Substrings, bytes_of, mix, sliding_min, slices, spread
+from sparkframe.llm.tokens import U64, Substrings, bytes_of, mix, sliding_min, slices, span_hashes, spread
 
-BLOCK_BYTES, BUCKET_BYTES, CHUNK_BYTES = 4 << 20, 16 << 20, 1 << 20
+BLOCK_BYTES, BUCKET_BYTES, CHUNK_BYTES = 4 << 20, 2 << 20, 1 << 20
 _PLACE = U64((1 << 28) - 1)
-_REPLY = "block int, bucket int, kind int, payload binary, a binary, b binary, c binary, d binary"
-_EMPTY = b""
+_REPLY = "block int, bucket int, kind int, payload binary, text binary, sizes binary, counts binary, values binary, index binary"
+_BINARY = ("payload", "text", "sizes", "counts", "values", "index")
+#: Bytes that are compared at once.
+_COMPARED = 1 << 20
+
+
+def equal_rows(hashes: np.ndarray, order: np.ndarray, same) -> np.ndarray:
+    """For each row the first one, by ``order``, that equals it. ``same(rows, firsts)`` compares rows for certain.
+
+    Rows are grouped by their hashes; rows that differ from their group's first one are grouped again
+    among themselves, so equal hashes of different rows cost time but change nothing.
+    """
+    out, rest = np.arange(len(hashes)), np.arange(len(hashes))
+    while len(rest):
+        rest = rest[np.lexsort((rest, order[rest], hashes[rest]))]
+        new = np.ones(len(rest), bool)
+        new[1:] = hashes[rest][1:] != hashes[rest][:-1]
+        first = rest[new][np.cumsum(new) - 1]
+        later = first != rest
+        rest, first = rest[later], first[later]
+        equal = same(rest, first)
+        out[rest[equal]] = first[equal]
+        rest = rest[~equal]
+    return out
+
+
+def equal_spans(data: np.ndarray, begin: np.ndarray, size: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """For each span of bytes the first one, by ``order``, with the same bytes."""
+
+    def same(rows, firsts):
+        out = size[rows] == size[firsts]
+        pick = np.flatnonzero(out & (size[rows] > 0))
+        ends = np.cumsum(size[rows[pick]])
+        i = 0
+        while i < len(pick):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + _COMPARED, "right")))
+            n = size[rows[pick[i:j]]]
+            alike = data[spread(begin[rows[pick[i:j]]], n)] == data[spread(begin[firsts[pick[i:j]]], n)]
+            out[pick[i:j]] = np.logical_and.reduceat(alike, np.cumsum(n) - n)
+            i = j
+        return out
+
+    return equal_rows(span_hashes(data, begin, begin + size), order, same)
 
 
 class Runs:
@@ -41,11 +81,10 @@ class Runs:
 
     def __init__(self, symbols: np.ndarray, bounds: np.ndarray, length: int, gram: int):
         self.lo = self.n = self.doc = np.zeros(0, np.int64)
-        self.anchor = self.stretch = np.zeros(0, U64)
+        self.anchor = np.zeros(0, U64)
         if len(symbols) < length:
             return
-        hashes = Substrings(symbols)
-        grams = hashes.windows(gram)
+        grams = Substrings(symbols).windows(gram)
         place = np.arange(len(grams), dtype=U64)
         least = sliding_min((grams & ~_PLACE) | place, length - gram + 1) & _PLACE
         sizes = np.diff(bounds)
@@ -60,43 +99,50 @@ class Runs:
         self.n = np.diff(np.append(first, len(valid)))
         self.doc = np.searchsorted(bounds, self.lo, "right") - 1
         self.anchor = mix(grams[at[first]], 0x5851F42D4C957F2D)
-        self.stretch = hashes.of(self.lo, self.lo + self.n + length - 1)
 
 
 class Block:
-    """The documents of a block in a fixed order, cut into chunks, with their runs' entries."""
+    """The documents of a block in a fixed order, cut into chunks, with their runs.
+
+    ``symbols(data, offsets)`` gives for some texts: symbols, each text's bounds among them, bytes, and
+    where each symbol begins and ends among the bytes.
+    """
 
     def __init__(self, table: pa.Table, order: str, text: str, length: int, gram: int, symbols, buckets: int):
         number = np.asarray(table.column(order).to_numpy(), np.int64)
         rank = _in_order(number, table.column(text))
-        self.table, self.order, self.buckets = table.take(pa.array(rank)), number[rank], buckets
-        self.data, self.offsets = bytes_of(self.table.column(text))
-        #: For each chunk: its documents' range, symbols, bounds, extra and runs.
-        self.chunks = []
-        for i, j in slices(self.offsets, CHUNK_BYTES):
-            a, b = self.offsets[i], self.offsets[j]
-            made, bounds, extra = symbols(self.data[a:b], self.offsets[i : j + 1] - a)
-            self.chunks.append((i, j, made, bounds, extra, Runs(made, bounds, length, gram)))
-
-    def entries(self):
-        """Of all chunks: for each distinct (anchor, stretch, number) its values, and each run's entry."""
-        parts, runs = [], []
-        for c, (i, _, _, _, _, r) in enumerate(self.chunks):
-            parts.append((r.anchor, r.stretch, self.order[r.doc + i]))
-            runs.append(np.stack([np.full(len(r.lo), c), r.lo, r.n]) if len(r.lo) else np.zeros((3, 0), np.int64))
-        anchor, stretch, number = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64 if k == 2 else U64) for k in range(3))
-        runs = np.concatenate(runs, axis=1) if runs else np.zeros((3, 0), np.int64)
-        # The smallest document with a stretch speaks for the block; in the others it repeats.
-        sort = np.lexsort((number, stretch, anchor))
-        new = np.ones(len(sort), bool)
-        if len(sort):
-            a, s = anchor[sort], stretch[sort]
-            new[1:] = (a[1:] != a[:-1]) | (s[1:] != s[:-1])
-        entry = np.empty(len(sort), np.int64)
-        entry[sort] = np.cumsum(new) - 1
-        first = sort[new]
-        later = number > number[first][entry] if len(sort) else np.zeros(0, bool)
-        return anchor[first], stretch[first], number[first], first, entry, later, runs
+        self.table, self.buckets = table.take(pa.array(rank)), buckets
+        number = number[rank]
+        data, offsets = bytes_of(self.table.column(text))
+        #: For each chunk: its documents' range, symbols' bounds, bytes, begins and ends, and where its bytes begin in the block's.
+        self.chunks, parts, raw, base = [], [], [], 0
+        for i, j in slices(offsets, CHUNK_BYTES):
+            a, b = offsets[i], offsets[j]
+            made, bounds, own, begin, end = symbols(data[a:b], offsets[i : j + 1] - a)
+            r = Runs(made, bounds, length, gram)
+            first, last = r.lo, r.lo + r.n + length - 2
+            parts.append((np.full(len(r.lo), len(self.chunks)), r.lo, r.n, base + begin[first], end[last] - begin[first], number[r.doc + i], r.anchor))
+            self.chunks.append((i, j, bounds, own, begin, end))
+            raw.append(own)
+            base += len(own)
+        self.raw = np.concatenate(raw) if raw else np.zeros(0, np.uint8)
+        join = lambda k, kind: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, kind)
+        #: Each run's chunk, first symbol, windows, bytes and document number.
+        self.chunk, self.lo, self.n, self.begin, self.size, self.number = (join(k, np.int64) for k in range(6))
+        #: Distinct anchors, each run's, and whether several documents here have it.
+        self.anchors, self.anchor = np.unique(join(6, U64), return_inverse=True)
+        low, high = np.full(len(self.anchors), 2**63 - 1), np.full(len(self.anchors), -(2**63))
+        np.minimum.at(low, self.anchor, self.number)
+        np.maximum.at(high, self.anchor, self.number)
+        self.several = low < high
+        self.bucket = ((self.anchors >> U64(32)) % U64(buckets)).astype(np.int64)
+
+    def stretches(self, elsewhere: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The runs whose anchors several documents have, one for equal ones, the smallest document's; and each run's, or -1."""
+        open_ = np.flatnonzero((self.several | elsewhere)[self.anchor])
+        of = np.full(len(self.anchor), -1)
+        of[open_] = open_[equal_spans(self.raw, self.begin[open_], self.size[open_], self.number[open_])]
+        return np.flatnonzero(of == np.arange(len(of))), of
 
 
 def _in_order(number: np.ndarray, texts) -> np.ndarray:
@@ -115,13 +161,9 @@ def _in_order(number: np.ndarray, texts) -> np.ndarray:
     return np.lexsort((key, number))
 
 
-def _bucket(anchor: np.ndarray, buckets: int) -> np.ndarray:
-    return ((anchor >> U64(32)) % U64(buckets)).astype(np.int64)
-
-
 def _rows(rows: list[dict]) -> pa.Table:
-    schema = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("payload", "a", "b", "c", "d"))])
-    return pa.Table.from_pylist([{"kind": 0, "payload": _EMPTY, "a": _EMPTY, "b": _EMPTY, "c": _EMPTY, "d": _EMPTY} | r for r in rows], schema)
+    schema = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in _BINARY)])
+    return pa.Table.from_pylist([{"kind": 0} | dict.fromkeys(_BINARY, b"") | r for r in rows], schema)
 
 
 def _by_bucket(bucket: np.ndarray, buckets: int):
@@ -132,150 +174,111 @@ def _by_bucket(bucket: np.ndarray, buckets: int):
         yield int(b), order[at[b] : at[b + 1]]
 
 
-def _numbers(number: np.ndarray) -> tuple[bytes, bytes]:
-    """Document numbers as distinct values and an index into them."""
-    values, index = np.unique(number, return_inverse=True)
-    return values.tobytes(), index.astype(np.uint32 if len(values) > 65535 else np.uint16).tobytes()
-
+def _packed(values: np.ndarray) -> bytes:
+    return len(values.tobytes()).to_bytes(8, "little") + pa.compress(values.tobytes(), codec="zstd", asbytes=True)
 
-def _numbered(values: bytes, index: bytes) -> np.ndarray:
-    v = np.frombuffer(values, np.int64)
-    return v[np.frombuffer(index, np.uint32 if len(v) > 65535 else np.uint16)]
 
-
-def answer_entries(anchor: np.ndarray, stretch: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """For each entry 0 (nothing repeats), 1 (all of it repeats) or 2 (to be compared)."""
-    out = np.zeros(len(anchor), np.uint8)
-    order = np.argsort(anchor, kind="stable")
-    a = anchor[order]
-    new = np.ones(len(a), bool)
-    new[1:] = a[1:] != a[:-1]
-    group = np.cumsum(new) - 1
-    often = order[np.bincount(group)[group] > 1] if len(a) else order
-    if not len(often):
-        return out
-    o = often[np.lexsort((number[often], stretch[often], anchor[often]))]
-    a, s, n = anchor[o], stretch[o], number[o]
-    new_a = np.ones(len(o), bool)
-    new_a[1:] = a[1:] != a[:-1]
-    new_s = new_a.copy()
-    new_s[1:] |= s[1:] != s[:-1]
-    ga, gs = np.cumsum(new_a) - 1, np.cumsum(new_s) - 1
-    least = n[np.flatnonzero(new_s)][gs]
-    mixed = np.bincount(ga[new_s])[ga] > 1
-    start = np.flatnonzero(new_a)
-    several = (np.minimum.reduceat(n, start) < np.maximum.reduceat(n, start))[ga]
-    out[o] = np.where(n > least, 1, np.where(mixed & several, 2, 0))
-    return out
+def _unpacked(payload: bytes, kind) -> np.ndarray:
+    return np.frombuffer(pa.decompress(payload[8:], int.from_bytes(payload[:8], "little"), codec="zstd", asbytes=True), kind)
 
 
-def repeated_windows(docs: DataFrame, number: str, text: str, length: int, gram: int, symbols, width: int, compare, finish, schema: T.StructType, symbol_bytes: int) -> DataFrame:
+def repeated_windows(docs: DataFrame, number: str, text: str, length: int, gram: int, symbols, method, finish, schema: T.StructType) -> DataFrame:
     """Apply ``finish`` to every block with its windows marked; see the module's text.
 
-    ``docs`` has ``number`` (long, not null) and ``text`` (string or binary) among its columns.
-    ``symbols(data, offsets)`` gives 64-bit symbols, each row's bounds among them, and whatever
-    ``finish`` needs. ``width`` bytes hold a symbol's own value; ``symbol_bytes`` bytes of
-    text give about one byte of entries. ``compare(values, counts, number)`` gets the stretches to compare (their
-    symbols' values end to end, windows in each, documents' numbers) and returns, for each
-    window, whether it also starts in a smaller document. ``finish(block, chunks)`` gets the
-    block and for each chunk its documents' range, symbols, bounds, extra and windows' marks.
+    ``docs`` has ``number`` (long, not null) and ``text`` (string or binary) among its columns, none of
+    them named ``__block``. ``method(data, begin, size, counts, number)`` gets different stretches of bytes,
+    how many windows each has, and the least number of a document with it; it returns for each window
+    whether it also starts in a stretch with a smaller number. ``finish(block, chunks)`` gets the
+    block and for each chunk its documents' range, symbols' bounds, bytes, begins, ends and windows' marks.
     """
     size = jobs.total_bytes(docs, text)
-    blocks, buckets = jobs.parts_for(size, BLOCK_BYTES, 2), jobs.parts_for(size // symbol_bytes, BUCKET_BYTES, 8)
-    own = jobs.unused(docs, "__block")
+    blocks, buckets = jobs.parts_for(size, BLOCK_BYTES, 2), jobs.parts_for(size // 4, BUCKET_BYTES, 8)
+    own = "__block"
     dealt = docs.withColumn(own, jobs.hashed_block(blocks, F.col(f"`{number}`"), F.col(f"`{text}`")))
     load = lambda table: Block(table, number, text, length, gram, symbols, buckets)
 
     def send(table: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _rows([])
-        where = table.column(own)[0].as_py()
-        anchor, stretch, num, *_ = load(table).entries()
-        out = []
-        for b, at in _by_bucket(_bucket(anchor, buckets), buckets):
-            values, index = _numbers(num[at])
-            out.append({"block": where, "bucket": b, "a": anchor[at].astype(np.uint32).tobytes(), "b": stretch[at].tobytes(), "c": values, "d": index})
-        return _rows(out)
+        block = load(table)
+        return _rows([{"block": table.column(own)[0].as_py(), "bucket": b, "values": block.anchors[at].astype(np.uint32).tobytes()} for b, at in _by_bucket(block.bucket, buckets)])
 
     def answer(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        parts = [(np.frombuffer(r["a"], np.uint32), np.frombuffer(r["b"], U64), _numbered(r["c"], r["d"])) for r in rows]
-        codes = answer_entries(*(np.concatenate([p[k] for p in parts]) for k in range(3)))
-        ends = np.cumsum([len(p[0]) for p in parts])
-        return _rows([{"block": r["block"], "bucket": r["bucket"], "kind": 1, "payload": _pack(codes[e - len(p[0]) : e])} for r, p, e in zip(rows, parts, ends, strict=True)])
-
-    def codes_of(anchor, replies: pa.Table, kind: int) -> np.ndarray:
-        out = np.zeros(len(anchor), np.uint8)
-        got = {r["bucket"]: r["payload"] for r in replies.to_pylist() if r["kind"] == kind}
-        for b, at in _by_bucket(_bucket(anchor, buckets), buckets):
-            out[at] = _unpack(got[b], len(at))
+        sent = [np.frombuffer(r["values"], np.uint32) for r in rows]
+        values, counts = np.unique(np.concatenate(sent), return_counts=True)
+        often = values[counts > 1]  # a block sends an anchor once
+        return _rows([{"block": r["block"], "bucket": r["bucket"], "kind": 1, "payload": _packed(np.packbits(np.isin(x, often)))} for r, x in zip(rows, sent, strict=True)])
+
+    def elsewhere(block: Block, replies: pa.Table) -> np.ndarray:
+        out = np.zeros(len(block.anchors), bool)
+        got = {r["bucket"]: r["payload"] for r in replies.to_pylist() if r["kind"] == 1}
+        for b, at in _by_bucket(block.bucket, buckets):
+            out[at] = np.unpackbits(_unpacked(got[b], np.uint8), count=len(at)).astype(bool)
         return out
 
-    def contexts(table: pa.Table, replies: pa.Table) -> pa.Table:
+    def stretches(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _rows([])
-        where = table.column(own)[0].as_py()
         block = load(table)
-        anchor, _, num, first, _, _, runs = block.entries()
-        codes = codes_of(anchor, replies, 1)
+        runs, _ = block.stretches(elsewhere(block, replies))
         out = [{k: r[k] for k in ("block", "bucket", "kind", "payload")} for r in replies.to_pylist()]
-        wanted = np.flatnonzero(codes == 2)
-        chunk, lo, n = runs[:, first[wanted]]
-        values: list = [None] * len(wanted)
-        for c, (_, _, made, _, extra, _) in enumerate(block.chunks):
-            source = extra.get("values", made)
-            for k in np.flatnonzero(chunk == c):
-                values[k] = source[lo[k] : lo[k] + n[k] + length - 1].tobytes()
-        for b, at in _by_bucket(_bucket(anchor[wanted], buckets), buckets):
-            v, index = _numbers(num[wanted[at]])
-            out.append({"block": where, "bucket": b, "kind": 2, "a": b"".join(values[k] for k in at), "b": n[at].astype(np.uint32).tobytes(), "c": v, "d": index})
+        for b, at in _by_bucket(block.bucket[block.anchor[runs]], buckets):
+            k = runs[at]
+            values, index = np.unique(block.number[k], return_inverse=True)
+            packed = {"text": block.raw[spread(block.begin[k], block.size[k])], "sizes": block.size[k].astype(np.uint32), "counts": block.n[k].astype(np.uint32), "values": values, "index": index.astype(np.uint32)}
+            out.append({"block": table.column(own)[0].as_py(), "bucket": b, "kind": 2} | {c: _packed(v) for c, v in packed.items()})
         return _rows(out)
 
     def resolve(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        passed = [{k: r[k] for k in ("block", "bucket", "kind", "payload")} for r in rows if r["kind"] == 1]
-        rows = [r for r in rows if r["kind"] == 2]
+        passed = [{k: r[k] for k in ("block", "bucket", "kind", "payload")} for r in table.to_pylist() if r["kind"] == 1]
+        rows = [r for r in table.to_pylist() if r["kind"] == 2]
         if not rows:
             return _rows(passed)
-        counts = [np.frombuffer(r["b"], np.uint32).astype(np.int64) for r in rows]
-        marks = compare(np.frombuffer(b"".join(r["a"] for r in rows), {1: np.uint8, 8: U64}[width]), np.concatenate(counts), np.concatenate([_numbered(r["c"], r["d"]) for r in rows]))
-        ends = np.cumsum([int(c.sum()) for c in counts])
-        return _rows(passed + [{"block": r["block"], "bucket": r["bucket"], "kind": 2, "payload": np.packbits(marks[e - int(c.sum()) : e]).tobytes()} for r, c, e in zip(rows, counts, ends, strict=True)])
+        read = lambda c, kind: np.concatenate([_unpacked(r[c], kind) for r in rows])
+        data, sizes, counts = read("text", np.uint8), read("sizes", np.uint32).astype(np.int64), read("counts", np.uint32).astype(np.int64)
+        num = np.concatenate([_unpacked(r["values"], np.int64)[_unpacked(r["index"], np.uint32)] for r in rows])
+        begin = np.cumsum(sizes) - sizes
+        of = equal_spans(data, begin, sizes, num)
+        distinct = np.flatnonzero(of == np.arange(len(of)))
+        marks = method(data, begin[distinct], sizes[distinct], counts[distinct], num[distinct])
+        place = np.zeros(len(of), np.int64)
+        place[distinct] = np.cumsum(counts[distinct]) - counts[distinct]
+        # A stretch that stands in a smaller document as it is repeats as a whole.
+        out = marks[spread(place[of], counts)] | np.repeat(num > num[of], counts)
+        each = np.cumsum([len(_unpacked(r["counts"], np.uint32)) for r in rows])
+        ends = np.append(0, np.cumsum(counts))
+        return _rows(passed + [{"block": r["block"], "bucket": r["bucket"], "kind": 2, "payload": _packed(np.packbits(out[ends[i] : ends[j]]))} for r, i, j in zip(rows, np.append(0, each[:-1]).tolist(), each.tolist(), strict=True)])
 
     def gather(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
             return schema_arrow.empty_table()
         block = load(table)
-        anchor, _, _, first, entry, later, runs = block.entries()
-        codes = codes_of(anchor, replies, 1)
-        wanted = np.flatnonzero(codes == 2)
+        runs, of = block.stretches(elsewhere(block, replies))
         got = {r["bucket"]: r["payload"] for r in replies.to_pylist() if r["kind"] == 2}
-        n = runs[2, first[wanted]]
-        begin = np.zeros(len(anchor), np.int64)
-        begin[wanted] = np.cumsum(n) - n
-        marks = np.zeros(int(n.sum()), bool)
-        for b, at in _by_bucket(_bucket(anchor[wanted], buckets), buckets):
-            sizes = n[at]
-            marks[spread(begin[wanted[at]], sizes)] = np.unpackbits(np.frombuffer(got[b], np.uint8), count=int(sizes.sum())).astype(bool)
-        whole = later | (codes[entry] == 1)
-        partly = ~whole & (codes[entry] == 2)
+        begin = np.zeros(len(of), np.int64)
+        begin[runs] = np.cumsum(block.n[runs]) - block.n[runs]
+        marks = np.zeros(int(block.n[runs].sum()), bool)
+        for b, at in _by_bucket(block.bucket[block.anchor[runs]], buckets):
+            n = block.n[runs[at]]
+            marks[spread(begin[runs[at]], n)] = np.unpackbits(_unpacked(got[b], np.uint8), count=int(n.sum())).astype(bool)
+        sent = of >= 0
+        later = sent & (block.number > block.number[of])
 
         def marked():
-            for c, (i, j, made, bounds, extra, _) in enumerate(block.chunks):
-                mark = np.zeros(len(made), bool)
-                mine = runs[0] == c
-                for pick, value in ((mine & whole, None), (mine & partly, marks)):
-                    lo, size = runs[1, pick], runs[2, pick]
-                    at = spread(lo, size)
-                    mark[at] = True if value is None else value[spread(begin[entry[pick]], size)]
-                yield i, j, made, bounds, extra, mark
+            for c, (i, j, bounds, raw, first, last) in enumerate(block.chunks):
+                mark = np.zeros(len(first), bool)
+                mine = np.flatnonzero(sent & (block.chunk == c))
+                n = block.n[mine]
+                mark[spread(block.lo[mine], n)] = marks[spread(begin[of[mine]], n)] | np.repeat(later[mine], n)
+                yield i, j, bounds, raw, first, last, mark
 
         return finish(block, marked())
 
     schema_arrow = _arrow_schema(schema)
     answers = dealt.groupBy(own).applyInArrow(send, _REPLY).groupBy("bucket").applyInArrow(answer, _REPLY)
     grouped = lambda df: df.groupBy("block")
-    asked = dealt.groupBy(own).cogroup(grouped(answers)).applyInArrow(contexts, _REPLY)
+    asked = dealt.groupBy(own).cogroup(grouped(answers)).applyInArrow(stretches, _REPLY)
     # A block's answers travel on beside its questions: each is a group of its own.
     key = F.when(F.col("kind") == 1, -1 - F.pmod(F.xxhash64("block", "bucket"), F.lit(1 << 30))).otherwise(F.col("bucket").cast("long")).alias("__key")
     resolved = asked.groupBy(key).applyInArrow(resolve, _REPLY)
@@ -288,14 +291,16 @@ def _arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def _pack(codes: np.ndarray) -> bytes:
-    return zlib.compress(codes.tobytes(), 1)
+def own_names(docs: DataFrame, number: str, text: str) -> tuple[DataFrame, str, str]:
+    """``docs`` under names of the operator's own, whatever columns it has; the number as a long, null last; and its and the text's names."""
+    place = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    renamed = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in place.items()], jobs.is_null_last(F.col(f"`{number}`")).alias("__number"))
+    return renamed, "__number", place[text]
 
 
-def _unpack(payload: bytes, n: int) -> np.ndarray:
-    out = np.frombuffer(zlib.decompress(payload), np.uint8)
-    assert len(out) == n, (len(out), n)
-    return out
+def first_names(found: DataFrame, docs: DataFrame, *more: str) -> DataFrame:
+    """``row`` (all columns of ``docs``, by their names) and the operator's own columns."""
+    return found.select(F.struct(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]).alias("row"), *more)
 
 
 def covered(mark: np.ndarray, length: int) -> np.ndarray:

@@ -1,14 +1,15 @@
 """Substring removal by a depth-limited radix sort of suffixes, over bytes.
 
 Texts are UTF-8 bytes. A byte goes if a 50-byte string over it also starts in a document with a
-smaller number. Suffixes are ordered only through their first 50 bytes. The first, most significant
-pass deals suffixes by content (see repeats.py) and sets aside those that can't repeat or whose
-whole stretch repeats; the others are sorted eight bytes at a time, and a group that holds one
-document only drops out after each pass. Groups left after the last pass are the repeated strings.
+smaller number. Suffixes are ordered only through their first 50 bytes. Suffixes that can't repeat,
+as no other document has their least-hashed gram, are left out, and the others are dealt by it (see
+repeats.py). Each bucket's suffixes are sorted by radix passes, eight bytes at a time from the first,
+and a group that holds one document only drops out after each pass. Groups left after the last pass
+are exactly the repeated strings; equal stretches of text are sorted as one.
 
 Defined results: a null text is empty; null numbers count as the largest; documents with equal
-numbers don't remove from each other; a text under 50 bytes and an empty table lose nothing;
-extra columns are carried along.
+numbers don't remove from each other; a text under 50 bytes and an empty table lose nothing; texts
+may have any length that a string column holds; extra columns, whatever their names, are carried along in ``row``.
 """
 
 from __future__ import annotations
@@ -19,8 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkframe.llm import jobs
-from sparkframe.llm.repeats import covered, repeated_windows
+from sparkframe.llm.repeats import covered, first_names, own_names, repeated_windows
 from sparkframe.llm.tokens import BYTE_CODES, column_of, span_column, spans_of, spread
 
 #: Bytes of a repeated string, and of the part of it that deals it out.
@@ -30,7 +30,8 @@ DIGIT = 8
 
 
 def _symbols(data, offsets):
-    return BYTE_CODES[data], offsets, {"values": data}
+    place = np.arange(len(data) + 1)
+    return BYTE_CODES[data], offsets, data, place[:-1], place[1:]
 
 
 def radix_groups(values: np.ndarray, starts: np.ndarray, number: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,12 +54,11 @@ def radix_groups(values: np.ndarray, starts: np.ndarray, number: np.ndarray, len
     return alive, group
 
 
-def _compare(values, counts, number):
-    lengths = counts + LENGTH - 1
-    starts = spread(np.cumsum(lengths) - lengths, counts)
+def _repeated(data, begin, size, counts, number):
+    starts = spread(begin, counts)
     number = np.repeat(number, counts)
     marks = np.zeros(len(starts), bool)
-    alive, group = radix_groups(values, starts, number, LENGTH)
+    alive, group = radix_groups(data, starts, number, LENGTH)
     if len(alive):
         first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
         least = np.repeat(np.minimum.reduceat(number[alive], first), np.diff(np.append(first, len(alive))))
@@ -67,27 +67,28 @@ def _compare(values, counts, number):
 
 
 def remove_repeats(docs: DataFrame, number: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of ``docs``, and ``kept`` (the bytes that stay), ``n_bytes``, ``removed`` (spans of bytes)."""
-    names = [f.name for f in docs.schema]
-    schema = T.StructType([*docs.schema.fields, T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())])))])
+    """``row`` (all columns of ``docs``), ``kept`` (the bytes that stay), ``n_bytes``, ``removed`` (spans of bytes)."""
+    renamed, key, column = own_names(docs, number, text)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    span = T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())])
+    schema = T.StructType([*[renamed.schema[c] for c in names], T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("removed", T.ArrayType(span))])
 
     def finish(block, chunks):
         parts = []
-        for i, j, _, bounds, extra, mark in chunks:
+        for i, j, bounds, raw, _, _, mark in chunks:
             gone = covered(mark, LENGTH)
             stays = np.zeros(len(gone) + 1, np.int64)
             np.cumsum(~gone, out=stays[1:])
-            kept = column_of(extra["values"][~gone], stays[bounds], binary=True)
+            kept = column_of(raw[~gone], stays[bounds], binary=True)
             columns = [block.table.column(c).slice(i, j - i).combine_chunks() for c in names]
             parts.append(pa.table([*columns, kept, pa.array(np.diff(bounds)), span_column(*spans_of(gone, bounds))], names=[f.name for f in schema]))
         return pa.concat_tables(parts)
 
-    key = jobs.unused(docs, "__number")
-    numbered = docs.withColumn(key, jobs.is_null_last(F.col(f"`{number}`")))
-    return repeated_windows(numbered, key, text, LENGTH, GRAM, _symbols, 1, _compare, finish, schema, 1)
+    found = repeated_windows(renamed, key, column, LENGTH, GRAM, _symbols, _repeated, finish, schema)
+    return first_names(found, docs, "kept", "n_bytes", "removed")
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = remove_repeats(docs)
-    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("row.doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
