@@ -12,12 +12,19 @@ has few enough; since both sides of a pair send all seeds up to their first good
 A group of more than ``HOT`` documents is hot. A document is sure to share s words with any set it
 links with, so it leaves its hottest groups, s - 1 words of them at most: the coldest word that a
 linked pair shares is never among them, as all documents rank the groups alike. A passage that many
-documents hold thus doesn't pair them all. Links are found without emitting all pairs of a group. Equal sets stand for one document. In each
-group of agreeing words the smallest document is paired with the others; pairs are verified on the
-whole sets, links make components, and then the pairs within a group whose ends are still in
-different components are compared by their parity bits, in blocks of bounded size that emit only
-pairs close enough; those are verified too. A pair left out is thus one whose ends are already
-joined or whose bits differ too much.
+documents hold thus doesn't pair them all. Equal sets stand for one document.
+
+Links are found without emitting all pairs of a group, in three steps, each on the components of the one before:
+
+1. Each group's best document is paired with the others. The best is the one whose groups are largest, which among
+   near copies is the text they come from, or what is nearest to it.
+2. The best document outside of that one's component is paired with the rest.
+3. Documents still outside are compared with all of their group, in cells of bounded size. A cell first finds
+   by parity bits what may link, then by the whole sets what does, and gives out a spanning forest
+   of either, so never more rows than it has documents.
+
+Pairs are verified on the whole sets. A pair left out is one whose ends are already joined, or whose sizes or
+bits differ too much. Sets hold 64-bit hashes of shingles.
 
 Defined results: words are lower-cased A-Z; a text with one to four words has its whole sequence as
 one shingle; null, empty and blank texts have none and link with nothing, nor do null numbers;
