@@ -206,9 +206,10 @@ def repeated_windows(docs: DataFrame, number: str, text: str, length: int, gram:
     def answer(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         sent = [np.frombuffer(r["values"], np.uint32) for r in rows]
-        values, counts = np.unique(np.concatenate(sent), return_counts=True)
-        often = values[counts > 1]  # a block sends an anchor once
-        return _rows([{"block": r["block"], "bucket": r["bucket"], "kind": 1, "payload": _packed(np.packbits(np.isin(x, often)))} for r, x in zip(rows, sent, strict=True)])
+        _, which, counts = np.unique(np.concatenate(sent), return_inverse=True, return_counts=True)
+        often = counts[which] > 1  # a block sends an anchor once
+        ends = np.cumsum([len(x) for x in sent]).tolist()
+        return _rows([{"block": r["block"], "bucket": r["bucket"], "kind": 1, "payload": _packed(np.packbits(often[e - len(x) : e]))} for r, x, e in zip(rows, sent, ends, strict=True)])
 
     def elsewhere(block: Block, replies: pa.Table) -> np.ndarray:
         out = np.zeros(len(block.anchors), bool)
@@ -231,8 +232,9 @@ def repeated_windows(docs: DataFrame, number: str, text: str, length: int, gram:
         return _rows(out)
 
     def resolve(table: pa.Table) -> pa.Table:
-        passed = [{k: r[k] for k in ("block", "bucket", "kind", "payload")} for r in table.to_pylist() if r["kind"] == 1]
-        rows = [r for r in table.to_pylist() if r["kind"] == 2]
+        every = table.to_pylist()
+        passed = [{k: r[k] for k in ("block", "bucket", "kind", "payload")} for r in every if r["kind"] == 1]
+        rows = [r for r in every if r["kind"] == 2]
         if not rows:
             return _rows(passed)
         read = lambda c, kind: np.concatenate([_unpacked(r[c], kind) for r in rows])
@@ -279,8 +281,8 @@ def repeated_windows(docs: DataFrame, number: str, text: str, length: int, gram:
     answers = dealt.groupBy(own).applyInArrow(send, _REPLY).groupBy("bucket").applyInArrow(answer, _REPLY)
     grouped = lambda df: df.groupBy("block")
     asked = dealt.groupBy(own).cogroup(grouped(answers)).applyInArrow(stretches, _REPLY)
-    # A block's answers travel on beside its questions: each is a group of its own.
-    key = F.when(F.col("kind") == 1, -1 - F.pmod(F.xxhash64("block", "bucket"), F.lit(1 << 30))).otherwise(F.col("bucket").cast("long")).alias("__key")
+    # A block's answers travel on beside its questions, in one group.
+    key = F.when(F.col("kind") == 1, -1 - F.col("block").cast("long")).otherwise(F.col("bucket").cast("long")).alias("__key")
     resolved = asked.groupBy(key).applyInArrow(resolve, _REPLY)
     return dealt.groupBy(own).cogroup(grouped(resolved)).applyInArrow(gather, schema)
 
