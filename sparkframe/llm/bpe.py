@@ -13,7 +13,7 @@ import re
 
 import numpy as np
 
-from sparkframe.llm.tokens import slices, spread
+from sparkframe.llm.tokens import KEPT, slices, spread
 
 _DOUBLE = re.compile(r"\s |<\|")
 #: Distinct pieces that a worker remembers before it begins anew.
@@ -119,6 +119,7 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+KEPT.append(_encoders)
 
 
 def encoder(path: str) -> Encoder:

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from sparkframe.llm import jobs
 from sparkframe.llm.columns import carried
 from sparkframe.llm.components import components
-from sparkframe.llm.tokens import LOWER, U64, bytes_of, column_of, mix, slices, span_hashes, spread, word_spans
+from sparkframe.llm.tokens import LOWER, U64, bytes_of, column_of, give_back, lean, mix, slices, span_hashes, spread, word_spans
 
 SHINGLE, NUM, DEN = 5, 75, 100
 CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 16 << 20
@@ -203,7 +203,7 @@ def describe(docs: DataFrame, number: str, text: str) -> DataFrame:
                 short = [folded(bits[i:j].view(U64)[None], min(SHORT_WORDS, max(1, (j - i) // 16))).tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(num), pa.array(np.diff(bounds)), pa.array(d[0]), pa.array(d[1]), column_of(bits, at, binary=True), pa.array(short, pa.binary())], ["id", "n", "d0", "d1", "bits", "short"])
 
-    return docs.select(number, text).mapInArrow(run, "id long, n long, d0 long, d1 long, bits binary, short binary")
+    return docs.select(number, text).mapInArrow(lean(run), "id long, n long, d0 long, d1 long, bits binary, short binary")
 
 
 _BLOB = "bucket int, keys binary, place binary, step binary, id binary, n binary, d binary, sure binary"
@@ -240,22 +240,27 @@ def _candidate_groups(docs: DataFrame, number: str, text: str, buckets: int) ->
                     yield pa.RecordBatch.from_pylist(out, pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("keys", "place", "step", "id", "n", "d", "sure"))]))
 
     def group(table: pa.Table) -> pa.Table:
-        parts = {k: [] for k in ("key", "id", "n", "d", "step", "sure")}
-        for r in table.to_pylist():
-            ids, keys = np.frombuffer(r["id"], np.int64), np.frombuffer(r["keys"], np.uint32)
-            place = np.frombuffer(r["place"], np.uint16 if len(ids) < 65536 else np.uint32)
-            step = np.unpackbits(np.frombuffer(r["step"], np.uint8), count=len(keys))
-            sure = np.frombuffer(r["sure"], np.uint16).reshape(2, -1)
-            for k, v in (("key", keys), ("id", ids[place]), ("n", np.frombuffer(r["n"], np.uint32)[place]), ("d", np.frombuffer(r["d"], U64)[place]), ("step", step), ("sure", sure[step, place])):
-                parts[k].append(v)
-        keys = np.concatenate(parts.pop("key"))
-        order = np.argsort(keys, kind="stable")
-        new = np.append(True, keys[order][1:] != keys[order][:-1])
-        place = np.cumsum(new) - 1
-        often = order[np.bincount(place)[place] > 1]
-        if not len(often):
+        out = groups_of(table)
+        give_back()
+        return out
+
+    def groups_of(table: pa.Table) -> pa.Table:
+        read = lambda k, c, kind: np.frombuffer(table.column(c)[k].as_buffer(), kind)
+        keys = np.concatenate([read(k, "keys", np.uint32) for k in range(table.num_rows)])
+        often = _often(keys)
+        if not often.any():
             return _groups_table([])
-        keys, c = keys[often], {k: np.concatenate(v)[often] for k, v in parts.items()}
+        # Most words are one document's; only the others' documents are looked up.
+        parts, end = {k: [] for k in ("id", "n", "d", "step", "sure")}, 0
+        for k in range(table.num_rows):
+            begin, end = end, end + len(read(k, "keys", np.uint32))
+            at, ids = np.flatnonzero(often[begin:end]), read(k, "id", np.int64)
+            place = read(k, "place", np.uint16 if len(ids) < 65536 else np.uint32)[at]
+            step = np.unpackbits(read(k, "step", np.uint8), count=end - begin)[at]
+            sure = read(k, "sure", np.uint16).reshape(2, -1)
+            for c, v in (("id", ids[place]), ("n", read(k, "n", np.uint32)[place]), ("d", read(k, "d", U64)[place]), ("step", step), ("sure", sure[step, place])):
+                parts[c].append(v)
+        keys, c = keys[often], {k: np.concatenate(v) for k, v in parts.items()}
         order = np.lexsort((c["id"], c["d"], keys))
         first = np.append(True, (keys[order][1:] != keys[order][:-1]) | (c["d"][order][1:] != c["d"][order][:-1]))
         order = order[first]
@@ -284,7 +289,19 @@ def _candidate_groups(docs: DataFrame, number: str, text: str, buckets: int) ->
             out.append((HEAT, [len(at)], c["id"][at], times, c["sure"][at] * 2 + c["step"][at], [0]))
         return _groups_table(out)
 
-    return docs.select(number, text).mapInArrow(send, _BLOB).groupBy("bucket").applyInArrow(group, _GROUPS)
+    return docs.select(number, text).mapInArrow(lean(send), _BLOB).groupBy("bucket").applyInArrow(group, _GROUPS)
+
+
+def _often(keys: np.ndarray) -> np.ndarray:
+    """Which keys stand there more than once."""
+    order = np.argsort(keys, kind="stable")
+    ranked = keys[order]
+    again = np.zeros(len(keys), bool)
+    again[1:] = ranked[1:] == ranked[:-1]
+    again[:-1] |= again[1:]
+    out = np.empty(len(keys), bool)
+    out[order] = again
+    return out
 
 
 def _groups_table(parts) -> pa.Table:
@@ -327,7 +344,7 @@ def _set_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(num), packed], ["id", "hashes"])
 
     few = wanted.count() <= _BROADCAST_ROWS
-    return docs.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, hashes binary")
+    return docs.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").select("id", "text").mapInArrow(lean(run), "id long, hashes binary")
 
 
 def _close(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -340,7 +357,7 @@ def _close(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda k, v: sketches.select(F.col("id").alias(k), F.col("bits").alias(v))
-    return pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "na", "nb", "x", "y").mapInArrow(lean(run), "a long, b long")
 
 
 def _links(pairs: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
@@ -359,7 +376,7 @@ def _links(pairs: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
     sets = jobs.written(_set_table(docs, close.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "hashes")
     side = lambda k, v: sets.select(F.col("id").alias(k), F.col("hashes").alias(v))
     near = close.join(side("b", "y"), "b").join(side("a", "x"), "a")
-    out = jobs.written(near.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+    out = jobs.written(near.select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long"), "links")
     jobs.dropped(close, sets)
     return out
 
@@ -470,7 +487,7 @@ def _in_cells(cells: DataFrame, what: DataFrame, column: str, work) -> DataFrame
     """(a, b) that ``work`` finds in the cells, whose rows get ``what``'s ``column`` by id."""
     key, parts = ["g", "i", "j"], int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = cells.join(what, "id").select(*key, "x", "y", "id", "n", "root", column).repartition(parts, *key).sortWithinPartitions(*key)
-    return rows.mapInArrow(_by_cell(work), "a long, b long").distinct()
+    return rows.mapInArrow(lean(_by_cell(work)), "a long, b long").distinct()
 
 
 def _cell_links(groups: DataFrame, roots: DataFrame, described: DataFrame, docs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkframe.llm import jobs
-from sparkframe.llm.tokens import U64, Substrings, bytes_of, mix, sliding_min, slices, span_hashes, spread
+from sparkframe.llm.tokens import U64, Substrings, bytes_of, forget, mix, sliding_min, slices, span_hashes, spread
 
 BLOCK_BYTES, BUCKET_BYTES, CHUNK_BYTES = 4 << 20, 2 << 20, 1 << 20
 _PLACE = U64((1 << 28) - 1)
@@ -198,6 +198,7 @@ def repeated_windows(docs: DataFrame, number: str, text: str, length: int, gram:
     load = lambda table: Block(table, number, text, length, gram, symbols, buckets)
 
     def send(table: pa.Table) -> pa.Table:
+        forget()
         if not table.num_rows:
             return _rows([])
         block = load(table)
@@ -219,6 +220,7 @@ def repeated_windows(docs: DataFrame, number: str, text: str, length: int, gram:
         return out
 
     def stretches(table: pa.Table, replies: pa.Table) -> pa.Table:
+        forget()
         if not table.num_rows:
             return _rows([])
         block = load(table)
@@ -232,6 +234,7 @@ def repeated_windows(docs: DataFrame, number: str, text: str, length: int, gram:
         return _rows(out)
 
     def resolve(table: pa.Table) -> pa.Table:
+        forget()
         every = table.to_pylist()
         passed = [{k: r[k] for k in ("block", "bucket", "kind", "payload")} for r in every if r["kind"] == 1]
         rows = [r for r in every if r["kind"] == 2]
@@ -253,6 +256,7 @@ def repeated_windows(docs: DataFrame, number: str, text: str, length: int, gram:
         return _rows(passed + [{"block": r["block"], "bucket": r["bucket"], "kind": 2, "payload": _packed(np.packbits(out[ends[i] : ends[j]]))} for r, i, j in zip(rows, np.append(0, each[:-1]).tolist(), each.tolist(), strict=True)])
 
     def gather(table: pa.Table, replies: pa.Table) -> pa.Table:
+        forget()
         if not table.num_rows:
             return schema_arrow.empty_table()
         block = load(table)

@@ -5,6 +5,7 @@ Hashes are 64 bits wide and seeded by fixed constants, so every task and every r
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 
 import numpy as np
@@ -24,6 +25,40 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 
 _powers = {}
 
+#: Tables that operators keep in a worker from one task to the next.
+KEPT: list[dict] = []
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError, TypeError):  # not glibc
+    _trim = None
+
+
+def give_back() -> None:
+    """Return to the machine what allocators hold in vain: a worker serves the tasks of all operators, and would else hold the most that any of them took."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def forget() -> None:
+    """Drop the tables that other operators keep in this worker."""
+    if any(KEPT):
+        for x in KEPT:
+            x.clear()
+        give_back()
+
+
+def lean(run):
+    """``run``, a method on batches, without others' tables; after it, its worker gives back what it holds in vain."""
+    return lambda batches: _lean(run, batches)
+
+
+def _lean(run, batches):
+    # A function of the module, so that it sees the worker's own tables, not the driver's.
+    forget()
+    yield from run(batches)
+    give_back()
+
 
 def powers(n: int, inverse: bool = False) -> np.ndarray:
     """The first ``n`` powers of the base (or its inverse) modulo 2^64."""
@@ -49,7 +84,8 @@ def bytes_of(column) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all strings of an Arrow array, and where each begins; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
-    column = column.fill_null("" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
+    if column.null_count:
+        column = column.fill_null("" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, offsets, data = column.buffers()
     if len(column) == 0:

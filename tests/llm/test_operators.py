@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkframe.llm import ann, bpe, classifier, components, licenses, mixing, ngram_join, packing, quality_rules, repeats, rlz_dedup, suffix_dedup, token_store, tokens
+from sparkframe.llm import ann, bpe, classifier, components, jobs, licenses, mixing, ngram_join, packing, quality_rules, repeats, rlz_dedup, suffix_dedup, token_store, tokens
 
 SF = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, source string, row string, __block string, id long"
@@ -227,6 +227,31 @@ def test_ngram_join_of_many_that_share_a_passage(spark):
     assert got == components_by_hand(rows)
 
 
+def test_workers_hold_little(spark):
+    """Batches of scratch tables are small, and a worker forgets other operators' tables before it joins documents."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["rows", "bytes"])
+
+    key, docs = "spark.sql.execution.arrow.maxBytesPerBatch", spark.range(0, 6000, 1, 1).select(F.repeat(F.lit("abcd"), 1000).alias("t"))
+    before = spark.conf.get(key)
+    seen = jobs.written(docs.mapInArrow(run, "rows long, bytes long"), "seen").collect()
+    assert sum(r["rows"] for r in seen) == 6000 and max(r["bytes"] for r in seen) <= jobs.BATCH_BYTES + 10_000
+    assert spark.conf.get(key) == before
+    bpe.encoder(bpe.default_path())
+    assert list(tokens.lean(iter)([1, 2])) == [1, 2] and not bpe._encoders
+
+
+def test_keys_that_stand_there_often():
+    rng = np.random.default_rng(4)
+    for n, m in ((0, 1), (1, 1), (2, 1), (500, 400), (500, 10**6)):
+        keys = rng.integers(0, m, n, dtype=np.uint32)
+        counts = Counter(keys.tolist())
+        assert ngram_join._often(keys).tolist() == [counts[k] > 1 for k in keys.tolist()]
+
+
 def test_parity_bits_bound_the_difference():
     rng = np.random.default_rng(2)
     for n, m in ((3, 4), (60, 70), (1000, 1300), (5, 900)):
