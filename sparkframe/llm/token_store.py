@@ -152,7 +152,8 @@ def write(docs: DataFrame, number: str = "doc_id", text: str = "text", path: str
     ordered = known.repartitionByRange(tasks, F.col("id"), F.xxhash64("text")).sortWithinPartitions(F.col("id"), F.xxhash64("text"), "text")
     files = ordered.mapInArrow(run, "file binary")
     # The text writer writes a string's bytes as they are, and one line end after them.
-    files.select(F.col("file").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    with jobs.small_batches(spark):
+        files.select(F.col("file").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
     return folder
 
 

@@ -278,6 +278,36 @@ def test_encoder_agrees_with_the_library(rows):
     assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == [w.ids for w in want]
 
 
+def test_encoder_on_pieces_of_any_kind():
+    """Pieces of 15 to 17 bytes, with zeros, white space of all kinds and openings, over several calls of one encoder."""
+    from tokenizers import Tokenizer
+
+    rng, library, own = np.random.default_rng(8), Tokenizer.from_file(bpe.default_path()), bpe.Encoder(bpe.default_path())
+    parts = [*"ab \n\t  <|>é  à\u2003\u3000x1'\u65e5\x1c\x85\0", "word ", " the", "<|endoftext|>", "fifteenbytes_ab ", "sixteenbytes_abc ", "seventeenbytes_ab ", "\0" * 15 + " ", "\0" * 16 + " "]
+    for _ in range(8):
+        texts = ["".join(rng.choice(parts, rng.integers(0, 40))) for _ in range(150)] + ["", ""]
+        ids, bounds = own.encode(texts)
+        want = library.encode_batch(texts, add_special_tokens=False)
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == [w.ids for w in want]
+    assert [x.tolist() for x in own.encode([])] == [[], [0]]
+
+
+def test_table_of_pieces_against_a_dictionary(monkeypatch):
+    rng = np.random.default_rng(6)
+    for weak in (False, True):  # all pieces of a size at one place
+        if weak:
+            monkeypatch.setattr(bpe._Table, "_slots", lambda self, low, high, size: (size % np.uint64(4)).astype(np.int64))
+        table, known = bpe._Table(2), {}
+        for _ in range(12):
+            low, high, size = (rng.integers(0, m, 60, dtype=np.uint64) for m in (6, 5, 17))
+            keys = list(zip(low.tolist(), high.tolist(), size.tolist(), strict=True))
+            assert table.find(low, high, size).tolist() == [known.get(k, -1) for k in keys]
+            new = [i for i, k in enumerate(keys) if k not in known and k not in keys[:i]]
+            known |= {keys[i]: len(known) + j for j, i in enumerate(new)}
+            table.add(low[new], high[new], size[new], np.array([known[keys[i]] for i in new], np.int64))
+        assert table.n == len(known) and 2 * table.n <= len(table.rows)
+
+
 def token_ids(text, end):
     from tokenizers import Tokenizer
 
