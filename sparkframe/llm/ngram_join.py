@@ -416,6 +416,30 @@ def _star(placed: DataFrame, centres: DataFrame) -> DataFrame:
     return met.select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b"), F.when(first, F.col("head.n")).otherwise(F.col("n")).alias("na"), F.when(first, F.col("n")).otherwise(F.col("head.n")).alias("nb")).distinct()
 
 
+def _met(known: DataFrame) -> DataFrame:
+    """(g, id, n): groups of documents (id, text) in one of which any two that link are, equal sets as one."""
+    # About a byte of keys and places travels for each byte of text.
+    buckets = jobs.parts_for(jobs.total_bytes(known, "text"), BUCKET_BYTES, 12)
+    candidates = jobs.written(_candidate_groups(known, "id", "text", buckets), "candidates")
+    out = jobs.written(_memberships(candidates), "groups")
+    jobs.dropped(candidates)
+    return out
+
+
+def linked_pairs(docs: DataFrame, number: str = "doc_id", text: str = "text") -> DataFrame:
+    """(a, b), a < b, of every two different sets that link, each named by the smallest document with it.
+
+    With ``class_id`` of ``near_duplicates`` these are all links. All pairs of a group are compared whose
+    sizes allow it, so work and result grow with the square of a group of near copies.
+    """
+    known = docs.select(F.col(f"`{number}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).filter("id IS NOT NULL")
+    sketches = jobs.written(describe(known, "id", "text"), "sets").select("id", "bits")
+    groups = _met(known)
+    x, y = (groups.select("g", F.col("id").alias(v), F.col("n").alias(f"n{v}")) for v in ("a", "b"))
+    pairs = x.join(y, "g").filter((F.col("a") < F.col("b")) & _alike(F.col("na"), F.col("nb"))).select("a", "b", "na", "nb").distinct()
+    return _links(jobs.written(pairs, "pairs"), sketches, known).distinct()
+
+
 def near_duplicates(docs: DataFrame, number: str = "doc_id", text: str = "text") -> DataFrame:
     """(number, n_shingles, component_id, class_id) for every row of ``docs``.
 
@@ -424,15 +448,9 @@ def near_duplicates(docs: DataFrame, number: str = "doc_id", text: str = "text")
     """
     docs = docs.select(F.col(f"`{number}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     known = docs.filter("id IS NOT NULL")
-    size = jobs.total_bytes(known, "text")
-    # About a byte of keys and places travels for each byte of text.
-    buckets = jobs.parts_for(size, BUCKET_BYTES, 12)
     described = jobs.written(describe(known, "id", "text"), "sets")
     sketches = described.select("id", "bits")
-    candidates = jobs.written(_candidate_groups(known, "id", "text", buckets), "candidates")
-    memberships = jobs.written(_memberships(candidates), "groups")
-    jobs.dropped(candidates)
-    groups = _scored(memberships)
+    groups = _scored(_met(known))
 
     # Each group's best document against all, then the best of what that one didn't reach.
     heads = jobs.written(_open_groups(_placed(groups, None)), "heads")

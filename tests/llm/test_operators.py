@@ -215,6 +215,23 @@ def test_ngram_join_of_a_large_group_that_links_in_part(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == first
 
 
+def test_linked_pairs_are_all_links(spark, rows):
+    """Also those within a component, and in groups that are hot; copies stand for their first."""
+    rng, base = np.random.default_rng(12), [f"b{i}" for i in range(120)]
+    more = [(1000 + i, " ".join(f"x{i}_{k}" if k in at else w for k, w in enumerate(base))) for i in range(50) for at in [set(rng.choice(120, rng.integers(0, 9), replace=False).tolist())]]
+    every = [(r[0], r[1]) for r in rows] + more
+    first = {}
+    for number, text in sorted((r for r in every if r[0] is not None), key=lambda r: r[0]):
+        w = words(lower(text))
+        if w:
+            first.setdefault(frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))), number)
+    want = {tuple(sorted((first[a], first[b]))) for a in first for b in first if a != b and 100 * len(a & b) >= 75 * len(a | b)}
+    got = [tuple(r) for r in ngram_join.linked_pairs(spark.createDataFrame(every, "doc_id long, text string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    within = [p for p in want if p[0] >= 1000]
+    assert len(within) > 2 * len({v for p in within for v in p})
+
+
 def test_ngram_join_of_many_that_share_a_passage(spark):
     """Hot groups: near copies link, texts that only share a passage don't, whatever group size is hot."""
     rng = np.random.default_rng(9)
