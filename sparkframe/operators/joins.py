@@ -60,25 +60,28 @@ def merge(left, right, on=None, left_on=None, right_on=None, how: str = "inner")
     out = DataFrame(a.join(b, condition, how).select(*[F.col(x).alias(n) for x, n in zip(inner, names, strict=True)]))
     if how == "inner":
         keys = [(f"l{left.columns.index(x)}", f"r{right.columns.index(y)}") for x, y in zip(left_on, right_on, strict=True)]
-        out._joined = Joined(a, b, keys, dict(zip(names, inner, strict=True)))
+        out._joined = Joined(a, b, keys, dict(zip(names, inner, strict=True)), left.sdf is right.sdf and left_on == right_on)
     return out
 
 
 @dataclass(frozen=True)
 class Joined:
-    """What an inner join was made of: both sides, pairs of key columns, and the sides' column behind each name."""
+    """What an inner join was made of: both sides, pairs of key columns, the sides' column behind each name,
+    and whether the sides are one table by the same keys."""
 
     left: SparkDataFrame
     right: SparkDataFrame
     keys: list[tuple[str, str]]
     place: dict[str, str]
+    same: bool
 
 
 def aggregated(joined: Joined, group: list[str], wanted: list[tuple[str, str, str]]):
     """Sums and counts of a join grouped by all of its keys, from sums and counts of either side, or None.
 
     Rows with the same keys pair all with all, so a side's count is multiplied by the other side's
-    number of rows instead of making the pairs. ``wanted`` has (column, operation, name).
+    number of rows instead of making the pairs. A table that meets itself by the same keys is aggregated
+    once. ``wanted`` has (column, operation, name).
     """
     from sparkframe.operators.frame import quoted
 
@@ -93,9 +96,18 @@ def aggregated(joined: Joined, group: list[str], wanted: list[tuple[str, str, st
         return None
     if any(op == "sum" and not isinstance(types[place[c]], (T.IntegralType, T.DoubleType)) for c, op, _ in wanted):
         return None
+    made = {"sum": F.sum, "count": F.count}
+    if joined.same:
+        # A join would hold the same groups twice, and a sorted copy of both.
+        keys = [x for x, _ in joined.keys]
+        parts = [made[op](f"l{place[c][1:]}").alias(f"v{i}") for i, (c, op, _) in enumerate(wanted)]
+        known = functools.reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])
+        met = joined.left.filter(known).groupBy(*keys).agg(F.count("*").alias("n"), *parts)
+        values = [(F.col(f"v{i}") * F.col("n")).alias(name) for i, (_, _, name) in enumerate(wanted)]
+        return met.select(*[F.col(keys[k]).alias(g) for g, k in zip(group, by, strict=True)], *values)
     sides = []
     for side, k, mark in ((joined.left, 0, "l"), (joined.right, 1, "r")):
-        parts = [{"sum": F.sum, "count": F.count}[op](F.col(place[c])).alias(f"v{i}") for i, (c, op, _) in enumerate(wanted) if place[c].startswith(mark)]
+        parts = [made[op](F.col(place[c])).alias(f"v{i}") for i, (c, op, _) in enumerate(wanted) if place[c].startswith(mark)]
         sides.append(side.groupBy(*[F.col(pair[k]).alias(f"{mark}k{i}") for i, pair in enumerate(joined.keys)]).agg(F.count("*").alias(f"{mark}n"), *parts))
     met = sides[0].join(sides[1], functools.reduce(lambda x, y: x & y, [F.col(f"lk{i}") == F.col(f"rk{i}") for i in range(len(joined.keys))]))
     other = {"l": "rn", "r": "ln"}

@@ -230,6 +230,21 @@ def test_groups_of_a_join_by_its_keys(make):
     assert both.merge(right, left_on=["k_l"], right_on=["k"]).groupby("s_l")["again"].sum().size() == 2
 
 
+def test_groups_of_a_join_with_itself_by_its_keys(make):
+    """One aggregate and no join, and the same sums and counts as over the pairs."""
+    one = make([(1, "a", 2, None), (1, "a", 3, 1.5), (1, "a", None, 2.5), (2, "b", 5, 2.0), (None, "a", 7, 1.0), (None, "a", 7, 1.0), (1, None, 1, 1.0), (3, "c", None, None), (3, "c", None, None)], "k int, s string, v int, w double")
+    spec = {"v_l": ["sum", "count"], "v_r": "sum", "w_r": ["sum", "count"], "k_r": "count"}
+    for keys, others, group, n, joins in ((["k", "s"], ["k", "s"], ["s_r", "k_l"], 3, 0), (["k"], ["k"], ["k_r"], 3, 0), (["k", "v"], ["v", "k"], ["k_l", "v_l"], 1, 1)):
+        both = one.merge(one, left_on=keys, right_on=others)
+        early = both.groupby(group).aggregate(spec)
+        both["again"] = both["v_l"]  # not a plain join any more
+        plain = both.groupby(group).aggregate(spec)
+        assert early.columns == plain.columns and early.sdf.schema.simpleString() == plain.sdf.schema.simpleString()
+        assert sorted(map(str, early.sdf.collect())) == sorted(map(str, plain.sdf.collect())) and early.size() == n
+        plan = early.sdf._jdf.queryExecution().optimizedPlan().toString()
+        assert (plan.count("Join"), plan.count("Aggregate")) == (joins, 1 + joins)
+
+
 def test_memory_size_and_dry_runs(spark, make, capsys):
     f = make([(k,) for k in range(100)], "x long")
     assert f.memory_size() >= 800
